@@ -12,7 +12,9 @@ from termloom.llm.chat_format import format_chats, read_turn, unescape
 from termloom.llm.common import table
 from termloom.llm.decontamination import decontaminate
 from termloom.llm.html_extract import extract
+from termloom.llm.jaccard_join import jaccard_components
 from termloom.llm.line_dedup import line_dedup
+from termloom.llm.lm_scoring import lm_score
 from termloom.llm.mixing import MOST, WEIGHTS, mix_sources
 from termloom.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from termloom.llm.substring_dedup import substring_dedup
@@ -27,6 +29,16 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score(table(spark, sf_dir, "documents"))
+    names = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", *(F.col(f"lm_{c}").alias(c) for c in names))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -81,7 +93,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_decontamination, op6_chat_format, op7_line_dedup, op8_html_extract, op9_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_jaccard_join, op5_decontamination, op6_chat_format, op7_line_dedup, op8_html_extract, op9_quality_rules, op10_mixing)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
