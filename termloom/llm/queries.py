@@ -18,6 +18,7 @@ from termloom.llm.lm_scoring import lm_score
 from termloom.llm.mixing import MOST, WEIGHTS, mix_sources
 from termloom.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from termloom.llm.substring_dedup import substring_dedup
+from termloom.llm.suffix_dedup import suffix_dedup
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -93,7 +99,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_jaccard_join, op5_decontamination, op6_chat_format, op7_line_dedup, op8_html_extract, op9_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_jaccard_join, op4_suffix_dedup, op5_decontamination, op6_chat_format, op7_line_dedup, op8_html_extract, op9_quality_rules, op10_mixing)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
