@@ -32,12 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what the cluster names, or, where it names none, a temporary one."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="termloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def stable(df: DataFrame) -> DataFrame:
     """`df` cut off from its lineage in the shared checkpoint folder, so that a lost executor loses nothing."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="termloom-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -58,6 +63,8 @@ def free_name(df: DataFrame, name: str) -> str:
 # ---------------------------------------------------------------- bytes and words in numpy
 
 K = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes for which a hash is worked out at once.
+STRETCH = 1 << 18
 K_INV = np.uint64(pow(int(K), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
 
@@ -141,9 +148,15 @@ def prefix_hash(b: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of lower-cased words."""
-    p = prefix_hash(LOWER[b])
-    return mix((p[ends] - p[starts]) * powers(K_INV, len(b) + 1)[starts])
+    """64-bit hashes of lower-cased words, worked out a stretch of the text at a time to save memory."""
+    out, i, n = np.empty(len(starts), np.uint64), 0, len(starts)
+    while i < n:
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, a + STRETCH, "right")))
+        p = prefix_hash(LOWER[b[a : ends[j - 1]]])
+        out[i:j] = mix((p[ends[i:j] - a] - p[starts[i:j] - a]) * powers(K_INV, int(ends[j - 1] - a) + 1)[starts[i:j] - a])
+        i = j
+    return out
 
 
 def chunks(offs: np.ndarray, most: int) -> list[tuple[int, int]]:

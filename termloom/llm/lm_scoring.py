@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from termloom.llm.common import NOT_BLANK, flat, mix, word_hashes, words
 
 #: Bytes of text in a block, of which a task holds one at a time.
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 #: Tokens that the traversal takes in one go.
 STRIDE = 256
 #: The hash that stands for a text's end.
@@ -32,7 +32,7 @@ class Block:
         np.cumsum(n, out=self.at[1:])
         token = np.full(int(self.at[-1]), END, np.uint64)
         token[np.arange(len(starts)) + np.repeat(np.arange(len(texts)), n - 1)] = word_hashes(b, starts, ends)
-        place = np.arange(len(token)) - np.repeat(self.at[:-1], n)
+        place = (np.arange(len(token)) - np.repeat(self.at[:-1], n)).astype(np.int32)
         trained = np.repeat(trains, n)
         self.n_tokens, self.keys, self.ids, self.counts, self.sample = n, [], [], [], []
         for k in range(1, order + 1):
@@ -42,12 +42,13 @@ class Block:
                 h += token[whole - j] * ODD[j - 1]
             h = mix(h + np.uint64(k))
             keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            ids = np.full(len(token), -1, np.int64)
+            ids = np.full(len(token), -1, np.int32)
             ids[whole] = inverse
             self.keys.append(keys)
             self.ids.append(ids)
-            self.sample.append(whole[first])
-            self.counts.append(np.bincount(inverse, weights=trained[whole], minlength=len(keys)).astype(np.uint32))
+            self.sample.append(whole[first].astype(np.int32))
+            self.counts.append(np.bincount(inverse[trained[whole]], minlength=len(keys)).astype(np.uint32))
+            del whole, h, first, inverse
 
     def buckets(self, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The keys of order k+1 in the order of their buckets, and where each bucket's begin."""
@@ -89,7 +90,7 @@ class Automaton:
                 fail_weight.append(np.log10(mu / (c[is_state] + mu)))
             if k:
                 to = np.where(word[k][seen] == end, 0, state_of[k][seen] if k < order - 1 else shorter)
-                arcs.append((state_of[k - 1][prefix[seen]] * len(unigram) + word[k][seen], np.log10(p[k][seen]), to))
+                arcs.append((state_of[k - 1][prefix[seen]] * len(unigram) + word[k][seen].astype(np.int64), np.log10(p[k][seen]), to))
         self.root_weight = np.log10(unigram)
         self.root_to = state_of[0] if order > 1 else np.zeros(len(unigram), np.int64)
         self.fail, self.fail_weight = np.concatenate(fail), np.concatenate(fail_weight)
