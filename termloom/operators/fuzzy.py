@@ -1,0 +1,59 @@
+"""Corrections: for a word (or two neighbours) that no form spells, the nearest form within an edit budget."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from termloom.functions.similarity import distances
+
+FLOOR = 0.90
+
+
+def edit_budget(length: Column) -> Column:
+    return F.when(length >= 6, 2).when(length >= 4, 1).otherwise(0)
+
+
+def candidates(spelled: DataFrame, forms: DataFrame) -> DataFrame:
+    """spelled (chain, strip, text) x forms within budget and above the similarity floor, as an equi-join on the
+    length: forms are repeated for each length within their budget. What plain Levenshtein puts beyond twice the budget
+    is dropped before the distances proper are taken."""
+    lengths = forms.withColumn("near_len", F.explode(F.sequence(F.col("form_len") - F.col("budget"), F.col("form_len") + F.col("budget"))))
+    near = spelled.withColumn("text_len", F.char_length("text")).join(
+        F.broadcast(lengths), (F.col("chain") == F.col("f_chain")) & (F.col("strip") == F.col("f_strip")) & (F.col("text_len") == F.col("near_len"))
+    )
+    near = near.where(F.expr("levenshtein(text, folded, 4) between 0 and 2 * budget"))
+    return near.withColumn("d", distances(F.col("text"), F.col("folded"))).where(f"d.dist <= budget and d.sim >= {FLOOR}")
+
+
+def best(found: DataFrame) -> DataFrame:
+    """Per (chain, pos, text) the form with the highest similarity, then the least distance, tier, entity, entry and
+    spelling: one minimum over structs, with partial sums."""
+    order = F.struct((-F.col("d.sim")).alias("sim"), F.col("d.dist").alias("dist"), "tier_rank", "canonical_id", "entry_id", "folded", "form_id")
+    return found.groupBy("chain", "pos", "strip", "text").agg(F.min(order).alias("m")).select("chain", "pos", "strip", "text", F.col("m.form_id").alias("form_id"), F.col("m.dist").alias("dist"), (-F.col("m.sim")).alias("sim"))
+
+
+def word_corrections(words: DataFrame, forms: DataFrame) -> DataFrame:
+    """Claims on single words. Distances are taken once for each distinct word."""
+    single = forms.where("not spaced and tier <> 'canonical' and budget > 0")
+    spelled = words.where("word").select("chain", "strip", F.col("t").alias("text")).distinct()
+    b = best(candidates(spelled, single)).select(F.col("chain").alias("c"), F.col("strip").alias("st"), F.col("text").alias("x"), "pos", "form_id")
+    hit = words.where("word").join(b, (F.col("chain") == F.col("c")) & (F.col("strip") == F.col("st")) & (F.col("t") == F.col("x")))
+    none = F.lit(None).cast("int")
+    return hit.select("key", "pos", "form_id", F.col("s").alias("start"), F.col("e").alias("end"), F.col("os").alias("ostart"), F.col("oe").alias("oend"), none.alias("gap_start"), none.alias("gap_end"))
+
+
+def pair_corrections(words: DataFrame, forms: DataFrame) -> DataFrame:
+    """Claims on two neighbouring words against forms with a space: as typed, or else swapped."""
+    several = forms.where("spaced and tier <> 'canonical' and budget > 0")
+    pairs = words.where("word and nt is not null")
+    typed, swapped = F.concat_ws(" ", "t", "nt"), F.concat_ws(" ", "nt", "t")
+    texts = pairs.select("chain", "strip", F.explode(F.array(typed, swapped)).alias("text")).distinct()
+    b = best(candidates(texts, several)).select(F.col("chain").alias("c"), F.col("strip").alias("st"), F.col("text").alias("x"), "pos", "form_id")
+    both = pairs.withColumn("try", F.explode(F.array(F.struct(F.lit(0).alias("turn"), typed.alias("text")), F.struct(F.lit(1).alias("turn"), swapped.alias("text")))))
+    hit = both.join(b, (F.col("chain") == F.col("c")) & (F.col("strip") == F.col("st")) & (F.col("try.text") == F.col("x")))
+    first = hit.groupBy("key", "pos", "s", "e", "ns", "ne", "os", "noe").agg(F.min_by("form_id", "try.turn").alias("form_id"))
+    return first.select(
+        "key", "pos", "form_id", F.col("s").alias("start"), F.col("ne").alias("end"), F.col("os").alias("ostart"), F.col("noe").alias("oend"),
+        F.col("e").alias("gap_start"), F.col("ns").alias("gap_end"),
+    )

@@ -1,0 +1,33 @@
+"""Which of the claims on a text stand: a greedy choice over each text's claims, as higher-order functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def overlap(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def touches(exact: Column, claim: Column) -> Column:
+    """Whether a claim's words touch an exact hit. Between the two words of a pair lies a gap that doesn't count."""
+    first_end, second = F.coalesce(claim["gap_start"], claim["end"]), claim["gap_end"]
+    one = (exact["start"] < first_end) & (claim["start"] < exact["end"])
+    two = second.isNotNull() & (exact["start"] < claim["end"]) & (second < exact["end"])
+    return one | two
+
+
+def uncovered(claims: Column) -> Column:
+    """All exact claims, and the fuzzy ones whose words touch none of them (not even one that loses later)."""
+    exact = F.filter(claims, lambda c: c["fuzzy"] == 0)
+    return F.filter(claims, lambda c: (c["fuzzy"] == 0) | ~F.exists(exact, lambda e: touches(e, c)))
+
+
+def resolve(claims: Column) -> Column:
+    """Claims in the order of precedence (exact, longest, tier, first, entity, entry; their leading fields) are kept
+    unless one that was kept before overlaps; in the order of their place then."""
+    empty = F.slice(claims, 1, 0)
+    kept = F.aggregate(F.array_sort(claims), empty, lambda acc, c: F.when(F.exists(acc, lambda k: overlap(k, c)), acc).otherwise(F.array_append(acc, c)))
+    placed = F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c.alias("c")))
+    return F.transform(F.array_sort(placed), lambda p: p["c"])
