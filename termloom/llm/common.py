@@ -46,6 +46,18 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of whole texts that go to a Python worker at a time.
+ARROW_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`; its session sends at most ARROW_ROWS rows per Arrow batch from now on, as whole texts can be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, ARROW_ROWS)
+    return df
+
+
 def small_or_not(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """`df`, checkpointed, with a broadcast hint only if it has been counted to hold at most `rows` rows."""
     df = stable(df)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import K_INV, chunks, flat, mix, powers, prefix_hash
+from termloom.llm.common import K_INV, chunks, flat, mix, powers, prefix_hash, small_batches
 
 #: Length of a repeated string, and of the short strings whose least hash in it says where it is looked for.
 LENGTH, GRAM = 50, 20
@@ -28,41 +28,39 @@ class Shard:
 
     def __init__(self, data: np.ndarray, lengths: np.ndarray, first: int):
         n = len(data)
-        start = np.cumsum(lengths) - lengths
-        string = np.repeat(np.arange(len(lengths)), lengths)
-        offset = np.arange(n) - start[string]
+        lengths = lengths.astype(np.int32)
+        start = np.cumsum(lengths, dtype=np.int32) - lengths
+        string = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        offset = np.arange(n, dtype=np.int32) - start[string]
         left = lengths[string] - offset
         padded = np.concatenate([data, np.zeros(64, np.uint8)])
-        key = np.zeros(n, np.uint64)
-        for i in range(8):
-            key |= np.where(left > i, padded[i : i + n], 0).astype(np.uint64) << np.uint64(56 - 8 * i)
-        order = np.argsort(key, kind="stable")
-        new = np.append(True, key[order][1:] != key[order][:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        key = np.ndarray(n, ">u8", padded, strides=(1,)).astype(np.uint64)  # eight bytes from each place on
+        short = np.flatnonzero(left < 8)
+        key[short] &= ~((np.uint64(1) << (np.uint64(8) * (8 - left[short]).astype(np.uint64))) - np.uint64(1))
+        order = np.argsort(key).astype(np.int32)
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
+        rank = np.empty(n, np.int32)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
         for k in (8, 16, 32):
-            size = np.diff(np.append(np.flatnonzero(new), n))
-            tied = order[np.repeat(size > 1, size)]
-            if not len(tied):
+            at = np.flatnonzero(~new | ~np.append(new[1:], True))
+            if not len(at):
                 break
+            tied = order[at]
             after = np.where(left[tied] > k, rank[np.minimum(tied + k, n - 1)] + 1, 0)
-            code = (rank[tied] << 32) | after
-            o = np.argsort(code, kind="stable")
+            code = (rank[tied].astype(np.int64) << 32) | after
+            o = np.argsort(code)
             tied, code = tied[o], code[o]
-            at = np.flatnonzero(np.repeat(size > 1, size))
             order[at] = tied
-            split = np.append(True, code[1:] != code[:-1])
-            new[at] |= split
-            rank = np.empty(n, np.int64)
-            rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        self.string, self.offset, self.left, self.key = string[order] + first, offset[order], left[order], key[order]
+            new[at[1:]] |= code[1:] != code[:-1]
+            rank[tied] = np.maximum.accumulate(np.where(new[at], at, 0))
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
+        self.string, self.offset, self.left, self.key = string[order] + np.int32(first), offset[order], left[order], key
         inside = self.offset > 0
-        self.bwt = np.where(inside, padded[order - 1], 0).astype(np.uint8)
-        self.longer = np.full(n, -1, np.int64)
+        self.bwt = np.where(inside, padded[order - 1], 0)
         # The suffix that starts one byte before a row's own.
-        self.longer[inside] = place[order[inside] - 1]
+        self.longer = np.where(inside, place[order - 1], -1)
 
 
 def merge(shards: list[Shard], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -78,21 +76,21 @@ def merge(shards: list[Shard], depth: int = LENGTH) -> tuple[np.ndarray, np.ndar
     base = np.cumsum([0, *(len(s.key) for s in shards)])
     key = np.concatenate([s.key for s in shards])
     bwt = np.concatenate([s.bwt for s in shards])
-    longer = np.concatenate([np.where(s.longer >= 0, s.longer + b, -1) for s, b in zip(shards, base, strict=False)])
+    longer = np.concatenate([np.where(s.longer >= 0, s.longer + np.int32(b), -1) for s, b in zip(shards, base, strict=False)])
     n = len(key)
-    rows = np.argsort(key, kind="stable")
-    place = np.empty(n, np.int64)
-    place[rows] = np.arange(n)
-    sorted_key = key[rows]
-    differ = sorted_key[1:] ^ sorted_key[:-1]
+    rows = np.argsort(key, kind="stable").astype(np.int32)
+    place = np.empty(n, np.int32)
+    place[rows] = np.arange(n, dtype=np.int32)
+    key = key[rows]
+    differ = key[1:] ^ key[:-1]
+    top = np.frexp((differ & ~(differ >> np.uint64(1))).astype(np.float64))[1]  # the place of the highest bit
     shared = np.full(n, depth, np.int16)
     shared[:1] = 0
-    for i in range(8):
-        shared[1:][differ >> np.uint64(56 - 8 * i) != 0] = np.minimum(shared[1:][differ >> np.uint64(56 - 8 * i) != 0], i)
+    shared[1:] = np.where(differ == 0, depth, 8 - (top + 7) // 8)
     # Groups that share seven bytes, and within them those that share eight.
     active = rows
-    group = np.cumsum(shared < 7)
-    part = np.cumsum(shared < 8)
+    group = np.cumsum(shared < 7, dtype=np.int32)
+    part = np.cumsum(shared < 8, dtype=np.int32)
     many = np.flatnonzero(np.append(part[1:] != part[:-1], False) & np.append(group[1:] == group[:-1], False))
     split = np.zeros(int(group[-1]) + 2 if n else 1, bool)
     split[group[many]] = True
@@ -111,8 +109,8 @@ def merge(shards: list[Shard], depth: int = LENGTH) -> tuple[np.ndarray, np.ndar
         fresh = np.append(True, (c[1:] != c[:-1]) | (group[1:] != group[:-1]))[: len(c)]
         parted = ~fresh & np.append(True, part[1:] != part[:-1])[: len(c)]
         shared[to[parted]] = np.minimum(shared[to[parted]], d)
-        group = np.cumsum(fresh)
-        part = np.cumsum(fresh | parted)
+        group = np.cumsum(fresh, dtype=np.int32)
+        part = np.cumsum(fresh | parted, dtype=np.int32)
         split = np.zeros(int(group[-1]) + 1 if len(group) else 1, bool)
         split[group[parted]] = True
         on = split[group]
@@ -156,8 +154,8 @@ def stretches(texts: pa.Array):
         b, offs = b_all[offs_all[i] : offs_all[j]], offs_all[i : j + 1] - offs_all[i]
         if len(b) < LENGTH:
             continue
-        sums = prefix_hash(b)
-        h = mix((sums[GRAM:] - sums[:-GRAM]) * powers(K_INV, len(b) + 1)[: len(b) - GRAM + 1])
+        sums, inverse = prefix_hash(b), powers(K_INV, len(b) + 1)
+        h = (sums[GRAM:] - sums[:-GRAM]) * inverse[: len(b) - GRAM + 1]
         low = np.uint64((1 << max(22, int(len(b)).bit_length())) - 1)
         x = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         have = 1
@@ -166,18 +164,20 @@ def stretches(texts: pa.Array):
             have *= 2
         if have < width:
             x = np.minimum(x[: len(x) - (width - have)], x[width - have :])
-        least = (x & low).astype(np.int64)  # for each start, where the least hash is
-        n = np.maximum(0, np.diff(offs) - LENGTH + 1)
-        doc = np.repeat(np.arange(len(n)), n)
-        start = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + offs[doc]
-        least = least[start]
-        if not len(least):
+        # Runs of starts with the same least hash; the last starts of a text, which reach beyond it, are none.
+        fits = np.ones(len(x), bool)
+        beyond = (offs[1:, None] - np.arange(LENGTH - 1, 0, -1)[None]).ravel()
+        beyond = beyond[(beyond >= np.repeat(offs[:-1], LENGTH - 1)) & (beyond < len(x))]
+        fits[beyond] = False
+        other = np.append(True, x[1:] != x[:-1])
+        first = np.flatnonzero(fits & (other | np.append(True, ~fits[:-1])))
+        last = np.flatnonzero(fits & np.append(other[1:] | ~fits[1:], True))
+        if not len(first):
             continue
-        first = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])))
-        last = np.append(first[1:], len(least)) - 1
-        begin, end = start[first], start[last] + LENGTH
-        name = mix((sums[end] - sums[begin]) * powers(K_INV, len(b) + 1)[begin] + (end - begin).astype(np.uint64))
-        yield b + np.uint8(1), i + doc[first], begin, end, begin - offs[doc[first]], h[least[first]], name
+        doc = np.searchsorted(offs, first, "right") - 1
+        end = last + LENGTH
+        name = mix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64))
+        yield b + np.uint8(1), i + doc, first, end, first - offs[doc], mix(h[(x[first] & low).astype(np.int64)]), name
 
 
 HIT = np.dtype([("doc", "i8"), ("start", "u4"), ("end", "u4")])
@@ -187,11 +187,14 @@ SENT = "block int, bucket int, strings binary, facts binary, done binary"
 GONE = "block int, gone binary"
 
 
-def _keys(frame: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pieces(frame: pd.DataFrame):
+    return stretches(pa.array(frame["text"].tolist(), pa.large_string()))
+
+
+def _keys(ids: np.ndarray, pieces, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's distinct keys in the order of (bucket, key), where each bucket's begin, and which several documents have."""
-    ids = frame["doc_id"].to_numpy(np.int64)
     keys, docs = [], []
-    for _, doc, *_, key, _ in stretches(pa.array(frame["text"].tolist(), pa.large_string())):
+    for _, doc, *_, key, _ in pieces:
         k, inverse = np.unique(key, return_inverse=True)
         lo, hi = np.full(len(k), np.iinfo(np.int64).max), np.full(len(k), np.iinfo(np.int64).min)
         np.minimum.at(lo, inverse, ids[doc])
@@ -211,7 +214,7 @@ def _keys(frame: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray, np
 
 def _ask(buckets: int):
     def over(frame: pd.DataFrame) -> pd.DataFrame:
-        key, at, several = _keys(frame, buckets)
+        key, at, several = _keys(frame["doc_id"].to_numpy(np.int64), _pieces(frame), buckets)
         block = int(frame["block"].iloc[0])
         rows = [(block, i, key[at[i] : at[i + 1]].tobytes(), np.packbits(several[at[i] : at[i + 1]]).tobytes()) for i in range(buckets)]
         return pd.DataFrame(rows, columns=["block", "bucket", "keys", "several"])
@@ -245,15 +248,16 @@ def _send(buckets: int):
     def over(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return pd.DataFrame(columns=["block", "bucket", "strings", "facts", "done"])
-        key, at, _ = _keys(frame, buckets)
+        ids, pieces = frame["doc_id"].to_numpy(np.int64), list(_pieces(frame))
+        key, at, _ = _keys(ids, pieces, buckets)
         shared = np.zeros(len(key), bool)
         for i, x in zip(told["bucket"], told["shared"], strict=True):
             shared[at[i] : at[i + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=at[i + 1] - at[i])
         wanted = np.sort(key[shared])
-        ids = frame["doc_id"].to_numpy(np.int64)
         names, facts, strings, done = [], [], [], []
-        for b, doc, begin, end, start, k, name in stretches(pa.array(frame["text"].tolist(), pa.large_string())):
-            on = np.isin(k, wanted)
+        for b, doc, begin, end, start, k, name in pieces:
+            near = np.minimum(np.searchsorted(wanted, k), max(0, len(wanted) - 1))
+            on = wanted[near] == k if len(wanted) else np.zeros(len(k), bool)
             doc, begin, end, start, k, name = ids[doc[on]], begin[on], end[on], start[on], k[on], name[on]
             o = np.lexsort((doc, name))
             doc, begin, end, start, k, name = doc[o], begin[o], end[o], start[o], k[o], name[o]
@@ -377,7 +381,7 @@ def suffix_dedup(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n, buckets = max(1, -(-int(size) // BLOCK)), max(1, -(-int(size) // PER_BUCKET))
     who = F.col(doc_id).cast("long")
-    dealt = docs.select(who.alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.pmod(F.xxhash64(who), F.lit(n)).cast("int").alias("block"))
+    dealt = small_batches(docs).select(who.alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.pmod(F.xxhash64(who), F.lit(n)).cast("int").alias("block"))
     known = dealt.where("doc_id is not null")
     told = known.groupBy("block").applyInPandas(_ask(buckets), ASK).groupBy("bucket").applyInPandas(_tell, TOLD)
     sent = known.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_send(buckets), SENT)
