@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import NOT_BLANK, flat, mix, word_hashes, words
+from termloom.llm.common import NOT_BLANK, flat, mix, small_batches, word_hashes, words
 
 #: Bytes of text in a block, of which a task holds one at a time.
 BLOCK = 8 << 20
@@ -162,13 +162,13 @@ def _count(order: int, n: int, block_name: str):
 
 
 def _sums(keys: pd.Series, counts: pd.Series) -> tuple[list[bytes], np.ndarray]:
-    """What all blocks counted of each n-gram, told to each block for the n-grams that it asked for."""
+    """What the other blocks counted of each n-gram, told to each block for the n-grams that it asked for."""
     k = np.concatenate([np.frombuffer(x, np.uint64) for x in keys])
     c = np.concatenate([np.frombuffer(x, np.uint32) for x in counts])
     _, inverse = np.unique(k, return_inverse=True)
     total = np.bincount(inverse, weights=c).astype(np.uint64)
     size = np.cumsum([0, *(len(x) // 8 for x in keys)])
-    return [total[inverse[a:b]].astype(np.uint32).tobytes() for a, b in zip(size[:-1], size[1:], strict=True)], total
+    return [(total[inverse[a:b]].astype(np.uint32) - c[a:b]).tobytes() for a, b in zip(size[:-1], size[1:], strict=True)], total
 
 
 def _sum(frame: pd.DataFrame) -> pd.DataFrame:
@@ -180,14 +180,14 @@ def _sum(frame: pd.DataFrame) -> pd.DataFrame:
 def _score(order: int, n: int, mu: float, out: tuple, keep: list[str]):
     def over(frame: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         block = Block(frame["text"].tolist(), frame["trains"].to_numpy(), order)
-        totals = [np.zeros(len(k), np.uint32) for k in block.keys]
+        totals = [c.copy() for c in block.counts]
         cut = [block.buckets(n, k) for k in range(order)]
         for bucket, told, more in zip(replies["bucket"], replies["totals"], replies["more_totals"], strict=True):
             take = [o[a[bucket] : a[bucket + 1]] for o, a in cut]
-            totals[0][take[0]] = np.frombuffer(told, np.uint32)
+            totals[0][take[0]] += np.frombuffer(told, np.uint32)
             rest, at = np.frombuffer(more, np.uint32), 0
             for k in range(1, order):
-                totals[k][take[k]] = rest[at : at + len(take[k])]
+                totals[k][take[k]] += rest[at : at + len(take[k])]
                 at += len(take[k])
         big_n, v = int(replies["n"].sum()), int(replies["v"].sum())
         c, at = totals[0][block.ids[0]], block.at
@@ -215,14 +215,15 @@ def lm_score(docs: DataFrame, doc_id="doc_id", text="text", order: int = 2, mu:
     size = docs.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()
     n = max(1, -(-int(size[0] or 0) // block))
     name = "block"
-    dealt = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+    dealt = small_batches(docs).select(
+        F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
         F.pmod(F.xxhash64(F.col(doc_id)), F.lit(n)).cast("int").alias(name),
     )
-    trains = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) != fold
+    trains = F.pmod(F.crc32(F.coalesce("doc_id", F.lit("")).cast("binary")), F.lit(folds)) != fold
     dealt = dealt.withColumn("trains", trains)
     asked = dealt.groupBy(name).applyInPandas(_count(order, n, name), COUNTS)
     replies = asked.groupBy("bucket").applyInPandas(_sum, REPLY)
     out = ("lm_held_out", "lm_n_tokens", "lm_n_known", "lm_train_tokens", "lm_base_score", "lm_score")
-    kind = "doc_id long, lm_held_out boolean, lm_n_tokens long, lm_n_known long, lm_train_tokens long, lm_base_score double, lm_score double"
-    return dealt.groupBy(name).cogroup(replies.groupBy("block")).applyInPandas(_score(order, n, mu, out, ["doc_id"]), kind)
+    kind = "doc_id string, lm_held_out boolean, lm_n_tokens long, lm_n_known long, lm_train_tokens long, lm_base_score double, lm_score double"
+    scored = dealt.groupBy(name).cogroup(replies.groupBy("block")).applyInPandas(_score(order, n, mu, out, ["doc_id"]), kind)
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))  # as text before, since pandas would turn ids into floats beside a null
