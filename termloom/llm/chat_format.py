@@ -49,7 +49,8 @@ def render(turns: list[dict], template: Template = chat_template) -> dict:
     Each prefix of the turns is rendered and compared with the one before: where it only adds, what it adds is the
     turn's span. Where it changes what was there, `rewrites` is true and the spans count from the last character that
     both share. An answer's text begins where the rendering with the opening of an answer ends, and ends where the
-    same turn rendered without text goes on.
+    same turn rendered without text goes on; a template that rewrites what the opening follows is compared with the
+    turn without text alone, and if that changes elsewhere too, the whole turn counts as the answer.
     """
     before, spans, loss, rewrites = template([], False), [], [], False
     for k in range(len(turns)):
@@ -64,10 +65,10 @@ def render(turns: list[dict], template: Template = chat_template) -> dict:
         if turns[k]["role"] == "assistant":
             opened = template(turns[:k], True)
             empty = template([*turns[:k], {**turns[k], "text": ""}], False)
-            if now.startswith(opened) and empty.startswith(opened):
-                loss.append((len(opened), len(now) - (len(empty) - len(opened))))
-            else:
-                loss.append((at, len(now)))
+            n = len(now) - len(empty)
+            begin = len(opened) if now.startswith(opened) and empty.startswith(opened) else len(commonprefix((now, empty)))
+            whole = n >= 0 and now[:begin] + now[begin + n :] == empty
+            loss.append((begin, begin + n) if whole else (at, len(now)))
         before = now
     return {"formatted": before, "spans": spans, "loss": loss, "rewrites": rewrites}
 
@@ -81,7 +82,7 @@ def _formatter(template: Template):
             rows = []
             for conv, turns in zip(f["conv_id"], f["turns"], strict=True):
                 r = render([{"role": t["role"], "text": t["text"]} for t in turns], template)
-                rows.append((None if pd.isna(conv) else int(conv), len(turns), r["formatted"], r["spans"], r["loss"], r["rewrites"]))
+                rows.append((None if conv is None else int(conv), len(turns), r["formatted"], r["spans"], r["loss"], r["rewrites"]))
             out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "formatted", "spans", "loss", "rewrites"])
             yield out.astype({"conv_id": "Int64"})
 
@@ -98,4 +99,5 @@ def format_chats(rows: DataFrame, template: Template = chat_template, conv_id="c
     """
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     turns = rows.groupBy(F.col(conv_id).cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(one)).alias("turns"))
-    return turns.mapInPandas(_formatter(template), OUT)
+    # As text, since pandas would turn ids into floats beside a null.
+    return turns.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(_formatter(template), OUT)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from termloom.llm.common import ALNUM, chunks, flat, free_name, word_hashes, words
+from termloom.llm.common import ALNUM, chunks, flat, free_name, small_batches, word_hashes, words
 
 #: Words in a window of an item.
 WINDOW = 13
@@ -248,7 +248,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text="text", item_id="item_
     a window is one window; an item, or a text, that is null or has no words hits nothing; repeated items count once;
     an item without an id is called None.
     """
-    out = free_name(docs, "dc")
+    out = free_name(small_batches(docs), "dc")
     size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     n = max(1, math.ceil(size / block))
     for k in range(n):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from termloom.llm.common import free_name
+from termloom.llm.common import free_name, small_batches
 
 #: Elements of HTML (fixed values): those that never have content, those whose content is no markup, those that are
 #: never shown as text, and those inside a line of text. All others begin and end blocks.
@@ -76,7 +76,7 @@ def leaf_blocks(html: str) -> list[tuple[str, frozenset, int, int]]:
                 flush()
                 del stack[at:]
         else:
-            if tag not in INLINE:
+            if tag not in INLINE and tag not in RAW:
                 flush()
             if tag in VOID:
                 if tag == "br":
@@ -299,7 +299,7 @@ def extract(pages: DataFrame, html: str = "html", training_pages: int = 500) ->
     """`pages` with their main text in `main_text` (underscores are put before a name that is taken); empty where the
     html is null, empty or has no main text. Each page is taken by itself, whole, so rows that repeat agree; no
     shuffle takes place. The field's weights, some hundred numbers, travel with the plan."""
-    field, out = trained(training_pages), free_name(pages, "main_text")
+    field, out = trained(training_pages), free_name(small_batches(pages), "main_text")
     field.plain  # noqa: B018  made once, here
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

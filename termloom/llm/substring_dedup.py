@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import BLANKS, ascii_lower, free_name
+from termloom.llm.common import BLANKS, ascii_lower, free_name, small_batches
 
 
 def unit_keys(text: Column) -> Column:
@@ -48,7 +48,7 @@ def substring_dedup(docs: DataFrame, doc_id="doc_id", text="text", min_chars: in
     or empty text is one empty line. Rows without an id keep everything and displace nothing; rows that repeat an id
     are one document.
     """
-    who, out, gone = (free_name(docs, x) for x in ("sd_id", "sd", "sd_gone"))
+    who, out, gone = (free_name(small_batches(docs), x) for x in ("sd_id", "sd", "sd_gone"))
     whole = F.coalesce(F.col(text), F.lit(""))
     held = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias(who), F.posexplode(unit_keys(whole)).alias("unit", "key"))
     held = held.where(F.char_length("key") >= min_chars).select(who, "unit", F.unhex(F.md5("key")).alias("h"))
