@@ -20,9 +20,15 @@ def _recounted(docs: DataFrame, text: Column) -> DataFrame:
     return docs.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def _added(out: DataFrame, docs: DataFrame, name: str) -> str:
+    """What an operator has called the column `name` that it added, as it puts underscores before a name that is taken."""
+    return next(c for c in out.columns if c not in docs.columns and c.lstrip("_") == name)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality_rules(docs).where("q_kept").select(docs.columns)
+    out = quality_rules(docs)
+    return out.where(F.col(_added(out, docs, "q_kept"))).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +45,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated; passages of the benchmark in the others are cut out."""
-    out = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not dc.contaminated")
+    out = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    dc = _added(out, docs, "dc")
+    out = out.where(f"not {dc}.contaminated")
     rest = F.lit(1 << 30)
     cut = F.aggregate(
-        "dc.spans",
+        f"{dc}.spans",
         F.struct(F.lit("").alias("kept"), F.lit(0).alias("at")),
         lambda a, s: F.struct(
             F.concat(a["kept"], F.substring("text", a["at"] + 1, s["start"].cast("int") - a["at"])).alias("kept"),
@@ -50,12 +58,13 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         ),
         lambda a: F.concat(a["kept"], F.substring("text", a["at"] + 1, rest)),
     )
-    return _recounted(out, F.when(F.size("dc.spans") > 0, cut).otherwise(F.col("text"))).select(docs.columns)
+    return _recounted(out, F.when(F.size(f"{dc}.spans") > 0, cut).otherwise(F.col("text"))).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
-    return emit_copies(mix_sources(docs)).select(docs.columns)
+    out = mix_sources(docs)
+    return emit_copies(out, _added(out, docs, "mix_copies")).select(docs.columns)
 
 
 STAGES = [

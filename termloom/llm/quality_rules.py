@@ -18,7 +18,7 @@ STOP_WORDS = (
 ).split()
 
 #: measure, comparison, bound: a document breaks a rule where the comparison doesn't hold. Ratios are of the words, or
-#: of the lines that hold a word.
+#: of the lines that hold a word; stop words count one more than there are, so that short texts may have none.
 RULES = (
     ("n_words", ">=", 10),
     ("mean_word_chars", ">=", 1.5),
@@ -84,7 +84,7 @@ def compile_rules(rules=RULES, prefix: str = "q_") -> Column:
     n, lines = F.greatest(p("n_words"), F.lit(1.0)), F.greatest(p("n_lines"), F.lit(1.0))
     measures = {
         "n_words": p("n_words"), "mean_word_chars": p("word_chars") / n, "symbol_ratio": p("n_symbols") / n,
-        "stop_ratio": p("n_stop") / n, "dup_line_ratio": p("n_dup_lines") / lines, "repeat_ratio": p("n_repeat_words") / n,
+        "stop_ratio": (p("n_stop") + 1) / n, "dup_line_ratio": p("n_dup_lines") / lines, "repeat_ratio": p("n_repeat_words") / n,
     }
     test = {">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}
     return reduce(lambda a, b: a & b, (test[op](measures[m], F.lit(float(v))) for m, op, v in rules), F.lit(True))
@@ -102,4 +102,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules=RULES, prefix: str
     df = measure(docs, text, prefix)
     n, again = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
     df = df.withColumn(f"{prefix}base_failed", (n < 10) | (100 * again > 20 * n))
-    return df.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & compile_rules(rules, prefix))
+    df = df.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & compile_rules(rules, prefix))
+    # A filter on the verdict must not be pushed below the measures, where it would spell them out over and over.
+    made = [c for c in df.columns if c not in docs.columns]
+    return df.select(*docs.columns, F.inline(F.array(F.struct(*made))))

@@ -133,7 +133,7 @@ FROM g GROUP BY doc_id
 
 _OP9_MEASURES = {
     "n_words": "n_words", "mean_word_chars": "word_chars::DOUBLE / greatest(n_words, 1)", "symbol_ratio": "n_symbols::DOUBLE / greatest(n_words, 1)",
-    "stop_ratio": "n_stop::DOUBLE / greatest(n_words, 1)", "dup_line_ratio": "n_dup_lines::DOUBLE / greatest(n_lines, 1)",
+    "stop_ratio": "(n_stop + 1)::DOUBLE / greatest(n_words, 1)", "dup_line_ratio": "n_dup_lines::DOUBLE / greatest(n_lines, 1)",
     "repeat_ratio": "n_repeat_words::DOUBLE / greatest(n_words, 1)",
 }
 
