@@ -81,7 +81,7 @@ class EntityResolver:
         """(key, pos, claims) of the first locale of each text's chain in which anything matches."""
         facts = self.forms_table(texts.sparkSession).select("form_id", "tier_rank", "canonical_id", "entry_id").dropDuplicates(["form_id"])
         claim = F.struct("fuzzy", (F.col("start") - F.col("end")).alias("size"), "tier_rank", "start", "canonical_id", "entry_id", "end", "form_id", "ostart", "oend", "gap_start", "gap_end")
-        grouped = self.claims(texts).join(F.broadcast(facts), "form_id").groupBy("key", "pos").agg(F.collect_list(claim).alias("claims"))
+        grouped = self.claims(texts).join(F.broadcast(facts), "form_id").groupBy("key", "pos").agg(F.collect_set(claim).alias("claims"))
         kept = grouped.withColumn("claims", resolve(uncovered(F.col("claims")))).where(F.size("claims") > 0)
         return kept.groupBy("key").agg(F.min_by("claims", "pos").alias("claims"), F.min("pos").alias("pos"))
 
@@ -94,15 +94,16 @@ class EntityResolver:
         """`df` with a column `report`.
 
         A null prompt has a null report. A prompt that is too long, or one without a locale, is rejected: its report has
-        an error and no matches (`on_error="column"`), or the query fails (`"raise"`). Equal pairs of prompt and chain
-        are resolved once. Prompts are dealt by digest; words meet forms in broadcast joins; only claims are grouped.
+        an error and no matches (`on_error="column"`), or the query fails (`"raise"`). Words meet forms in broadcast
+        joins where the prompts lie; only claims are grouped, by a digest of prompt and chain. Claims are a set, so a
+        prompt that many rows repeat has no more of them. Reports go back to the rows in one join on the digest.
         """
         p, loc = F.col(f"`{prompt}`"), F.col(f"`{locale}`")
         error = rejection(p, loc)
         chain = chain_key(loc, self.chains)
         key = F.unhex(F.md5(F.concat_ws("\x1f", p, chain)))
         fits = p.isNotNull() & loc.isNotNull() & error.isNull() & ~is_blank(p)
-        texts = df.where(fits).select(key.alias("key"), p.alias("prompt"), chain.alias("chain")).dropDuplicates(["key"])
+        texts = df.where(fits).select(key.alias("key"), p.alias("prompt"), chain.alias("chain"))
         found = self.resolved(texts)
         forms = df.sparkSession.createDataFrame([tuple(f.values()) for f in self.forms], "form_id int, locale string, folded string, form_len int, anchor string, anchor_off int, wordless boolean, plain boolean, spaced boolean, budget int, entry_id string, canonical_id string, surface_form string, tier string, tier_rank int, metadata string")
         named = found.select("key", F.posexplode("claims").alias("n", "c")).join(F.broadcast(forms.select("form_id", "surface_form", "tier", "locale", "metadata")), F.col("c.form_id") == F.col("form_id"))
