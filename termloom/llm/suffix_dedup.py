@@ -144,14 +144,27 @@ def least_owner(data: np.ndarray, lengths: np.ndarray, owner: np.ndarray, shard:
 # ---------------------------------------------------------------- where equal strings can meet
 
 
+def pieces_of(offs: np.ndarray):
+    """Pieces of some texts, or of a part of a longer one: the first text, the bytes' range, where texts begin in it, and
+    how far into its text it begins. Parts overlap, so that each start of `LENGTH` bytes is in one."""
+    for i, j in chunks(offs, PIECE):
+        a, z = int(offs[i]), int(offs[j])
+        if j > i + 1 or z - a <= PIECE:
+            yield i, a, z, offs[i : j + 1] - a, 0
+        else:
+            for shift in range(0, z - a - LENGTH + 1, PIECE):
+                end = min(z, a + shift + PIECE + LENGTH - 1)
+                yield i, a + shift, end, np.array([0, end - a - shift]), shift
+
+
 def stretches(texts: pa.Array):
     """Cuts each text's possible starts of `LENGTH` bytes into stretches that have the same short string of least hash
     inside. Equal `LENGTH` bytes have the same one, wherever they are. Yields per piece its bytes (0 is kept free), the
     stretches' texts, first starts and ends (the bytes that their starts reach), and the short strings' hashes."""
     b_all, offs_all = flat(texts)
     width = LENGTH - GRAM + 1
-    for i, j in chunks(offs_all, PIECE):
-        b, offs = b_all[offs_all[i] : offs_all[j]], offs_all[i : j + 1] - offs_all[i]
+    for i, from_, to, offs, shift in pieces_of(offs_all):
+        b = b_all[from_:to]
         if len(b) < LENGTH:
             continue
         sums, inverse = prefix_hash(b), powers(K_INV, len(b) + 1)
@@ -177,7 +190,7 @@ def stretches(texts: pa.Array):
         doc = np.searchsorted(offs, first, "right") - 1
         end = last + LENGTH
         name = mix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64))
-        yield b + np.uint8(1), i + doc, first, end, first - offs[doc], mix(h[(x[first] & low).astype(np.int64)]), name
+        yield b + np.uint8(1), i + doc, first, end, first - offs[doc] + shift, mix(h[(x[first] & low).astype(np.int64)]), name
 
 
 HIT = np.dtype([("doc", "i8"), ("start", "u4"), ("end", "u4")])
