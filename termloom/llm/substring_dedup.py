@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import BLANKS, ascii_lower, free_name, small_batches
+from termloom.llm.common import BLANKS, ascii_lower, free_name, small_batches, small_or_not
 
 
 def unit_keys(text: Column) -> Column:
@@ -44,7 +44,8 @@ def substring_dedup(docs: DataFrame, doc_id="doc_id", text="text", min_chars: in
 
     Units are lines; their keys drop case and spacing; keys under `min_chars` code points are never removed. Of all
     occurrences of a key, anywhere, the one with the smallest (id, line) stays. Digests (MD5) meet in one aggregation
-    with partial sums; only keys that occur twice go on to the join, which is free to be split where a key is hot. Null
+    with partial sums; only keys that occur twice go on, broadcast if they are few, else to a join that is free to be
+    split where a key is hot. Null
     or empty text is one empty line. Rows without an id keep everything and displace nothing; rows that repeat an id
     are one document.
     """
@@ -54,7 +55,7 @@ def substring_dedup(docs: DataFrame, doc_id="doc_id", text="text", min_chars: in
     held = held.where(F.char_length("key") >= min_chars).select(who, "unit", F.unhex(F.md5("key")).alias("h"))
     first = held.groupBy("h").agg(F.min(F.struct(F.col(who).alias("id"), "unit")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     lost = (
-        held.join(first, "h")
+        held.join(small_or_not(first), "h")
         .where((F.col(who) != F.col("first.id")) | (F.col("unit") != F.col("first.unit")))
         .groupBy(who)
         .agg(F.collect_list(F.struct("unit", F.col("first.id").alias("keeper"), F.col("first.unit").alias("keeper_unit"))).alias(gone))
