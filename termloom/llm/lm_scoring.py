@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import NOT_BLANK, flat, mix, small_batches, word_hashes, words
+from termloom.llm.common import NOT_BLANK, flat, mix, pack, small_batches, unpack, word_hashes, words
 
 #: Bytes of text in a block, of which a task holds one at a time.
 BLOCK = 8 << 20
@@ -155,7 +155,7 @@ def _count(order: int, n: int, block_name: str):
             take = [o[a[i] : a[i + 1]] for o, a in cut]
             more_k = np.concatenate([block.keys[k][t] for k, t in enumerate(take)][1:]) if order > 1 else np.zeros(0, np.uint64)
             more_c = np.concatenate([block.counts[k][t] for k, t in enumerate(take)][1:]) if order > 1 else np.zeros(0, np.uint32)
-            rows.append((int(frame[block_name].iloc[0]), i, block.keys[0][take[0]].tobytes(), block.counts[0][take[0]].tobytes(), more_k.tobytes(), more_c.tobytes()))
+            rows.append((int(frame[block_name].iloc[0]), i, pack(block.keys[0][take[0]]), block.counts[0][take[0]].tobytes(), pack(more_k), more_c.tobytes()))
         return pd.DataFrame(rows, columns=["block", "bucket", "keys", "counts", "more_keys", "more_counts"])
 
     return over
@@ -163,7 +163,7 @@ def _count(order: int, n: int, block_name: str):
 
 def _sums(keys: pd.Series, counts: pd.Series) -> tuple[list[bytes], np.ndarray]:
     """What the other blocks counted of each n-gram, told to each block for the n-grams that it asked for."""
-    k = np.concatenate([np.frombuffer(x, np.uint64) for x in keys])
+    k = np.concatenate([unpack(x) for x in keys])
     c = np.concatenate([np.frombuffer(x, np.uint32) for x in counts])
     _, inverse = np.unique(k, return_inverse=True)
     total = np.bincount(inverse, weights=c).astype(np.uint64)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import K_INV, chunks, flat, mix, powers, prefix_hash, small_batches
+from termloom.llm.common import K_INV, chunks, flat, mix, pack, powers, prefix_hash, small_batches, unpack
 
 #: Length of a repeated string, and of the short strings whose least hash in it says where it is looked for.
 LENGTH, GRAM = 50, 20
@@ -229,7 +229,7 @@ def _ask(buckets: int):
     def over(frame: pd.DataFrame) -> pd.DataFrame:
         key, at, several = _keys(frame["doc_id"].to_numpy(np.int64), _pieces(frame), buckets)
         block = int(frame["block"].iloc[0])
-        rows = [(block, i, key[at[i] : at[i + 1]].tobytes(), np.packbits(several[at[i] : at[i + 1]]).tobytes()) for i in range(buckets)]
+        rows = [(block, i, pack(key[at[i] : at[i + 1]]), np.packbits(several[at[i] : at[i + 1]]).tobytes()) for i in range(buckets)]
         return pd.DataFrame(rows, columns=["block", "bucket", "keys", "several"])
 
     return over
@@ -237,7 +237,7 @@ def _ask(buckets: int):
 
 def _tell(frame: pd.DataFrame) -> pd.DataFrame:
     """Which of the keys that each block sent are in several documents: those of several blocks, and those that one has."""
-    keys = [np.frombuffer(x, np.uint64) for x in frame["keys"]]
+    keys = [unpack(x) for x in frame["keys"]]
     several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(frame["several"], keys, strict=True)]
     _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     count = np.bincount(inverse, weights=1 + np.concatenate(several).astype(np.int64)) > 1
