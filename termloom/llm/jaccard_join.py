@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,47 +11,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import NOT_BLANK, chunks, flat, mix, stable, word_hashes, words
+from termloom.llm.common import NOT_BLANK, chunks, flat, mix, small_batches, stable, word_hashes, words
 from termloom.llm.graph import components
 
 #: Words in a shingle, and the similarity of a link as a fraction.
 SHINGLE, SHARE = 5, (75, 100)
 #: Slots of the sketch of document frequencies: 2**SLOT_BITS counters, whatever the input's size.
-SLOT_BITS = 18
+SLOT_BITS, SLICES = 22, 16
 #: Seeds of the orders: the first one makes candidates, the others are checked before the sets are.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
-CHUNK = 8 << 20
+CHUNK = 4 << 20
+#: Bits of the longest signature.
+MOST_BITS = 1 << 14
+#: Sets of a star that meet as one side in a task of the second round, and the pairs that it holds at a time.
+SIDE, PAIRS = 1024, 1 << 20
+#: How many of the closest pairs of a set are compared in each pass, before all that are left.
+CLOSEST = (2,)
 ODD = np.array([0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0x9FB21C651E98DF25, 0xBD8CF76A4B1D3C4B], np.uint64)
 
 
-def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
-    """For each text the sorted 64-bit hashes of its distinct shingles; of fewer words, one hash of them all."""
+def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For some texts at a time the sorted 64-bit hashes of each one's distinct shingles, end to end, and where each
+    text's begin. A text of fewer words has one hash of them all."""
     b_all, offs_all = flat(texts)
     for i, j in chunks(offs_all, CHUNK):
         b, offs = b_all[offs_all[i] : offs_all[j]], offs_all[i : j + 1] - offs_all[i]
         starts, ends, at = words(b, offs, NOT_BLANK)
         w = word_hashes(b, starts, ends)
-        n = max(0, len(w) - k + 1)
-        h = np.zeros(n, np.uint64)
+        n = np.diff(at)
+        size = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+        to = np.cumsum(np.append(0, size))
+        text = np.repeat(np.arange(len(n)), size)
+        first = at[text] + np.arange(len(text)) - to[text]
+        h = np.zeros(len(text), np.uint64)
         for x in range(k):
-            h += w[x : x + n] * ODD[x % len(ODD)] if n else 0
-        h = mix(h + np.uint64(k))
-        for d in range(j - i):
-            a, z = at[d], at[d + 1]
-            if z - a >= k:
-                yield np.unique(h[a : z - k + 1])
-            elif z > a:
-                one = (w[a:z] * ODD[: z - a]).sum(dtype=np.uint64)
-                yield mix(np.array([one + np.uint64(z - a)], np.uint64))
-            else:
-                yield np.zeros(0, np.uint64)
-
-
-def set_digest(s: np.ndarray) -> int:
-    """A 64-bit digest by which equal sets are one node."""
-    x = mix(s ^ np.uint64(0x452821E638D01377))
-    y = mix(np.array([x.sum(dtype=np.uint64) ^ (np.uint64(len(s)) << np.uint64(40)) ^ mix(x[:1]).sum(dtype=np.uint64)], np.uint64))
-    return int(y.view(np.int64)[0])
+            inside = first + x < at[text + 1]
+            h += np.where(inside, w[np.minimum(first + x, max(0, len(w) - 1))], 0).astype(np.uint64) * ODD[x]
+        h = mix(h + np.minimum(n, k)[text].astype(np.uint64))
+        for d in np.flatnonzero(size > 1):
+            h[to[d] : to[d + 1]].sort()
+        new = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))[: len(h)]
+        yield h[new], np.searchsorted(text[new], np.arange(len(n) + 1))
+
+
+def set_digests(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit digest for each set, by which equal sets are one node; 0 for an empty one."""
+    out = np.zeros(len(at) - 1, np.uint64)
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        x, y = (np.add.reduceat(mix(s ^ np.uint64(c)), at[full]) for c in (0x452821E638D01377, 0xBE5466CF34E90C6C))
+        out[full] = mix(mix(x) ^ y ^ (np.diff(at)[full].astype(np.uint64) << np.uint64(40)))
+    return out.view(np.int64)
+
+
+def signatures(s: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each set, per bit, the parity of its tokens that hash there; 128 to `MOST_BITS` bits, two to four per token.
+    Two such maps differ in no more bits than their sets do in tokens (Sandes et al., 2020), and halve by folding."""
+    n = np.diff(at)
+    bits = np.clip(2 ** np.floor(np.log2(np.maximum(4 * n, 1))), 128, MOST_BITS).astype(np.int64)
+    begin = np.cumsum(bits) - bits
+    place = np.repeat(begin, n) + (mix(s ^ np.uint64(0xC0AC29B7C97C50DD)) & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8)).tobytes()
+    return [packed[a // 8 : (a + b) // 8] for a, b in zip(begin.tolist(), bits.tolist(), strict=True)]
+
+
+class Signatures:
+    """Signatures of some sets, and how many bits those of pairs differ in at least."""
+
+    def __init__(self, sigs: list[bytes]):
+        self.bits = np.array([8 * len(x) for x in sigs], np.int64)
+        self.maps, b = {}, MOST_BITS
+        size = b // 64
+        full = np.zeros((len(sigs), size), np.uint64)
+        while b >= 128:
+            own = np.flatnonzero(self.bits == b)
+            full = full[:, : b // 64] ^ full[:, b // 64 :] if full.shape[1] > b // 64 else full
+            if len(own):
+                full = full.copy()
+                full[own] = np.frombuffer(b"".join(sigs[i] for i in own), np.uint64).reshape(len(own), b // 64)
+            self.maps[b] = full
+            b //= 2
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        common = np.minimum(self.bits[i], self.bits[j])
+        for b, maps in self.maps.items():
+            on = np.flatnonzero(common == b)
+            step = max(1, (1 << 27) // b)
+            for k in range(0, len(on), step):
+                some = on[k : k + step]
+                out[some] = np.bitwise_count(maps[i[some]] ^ maps[j[some]]).sum(1)
+        return out
 
 
 def prefix_length(n):
@@ -64,25 +115,44 @@ def needed(n, m):
     return (SHARE[0] * (n + m) + s - 1) // s
 
 
-def ordered(s: np.ndarray, levels: np.ndarray, seed: int) -> np.ndarray:
-    """A set in one of the global orders: what documents share rarely first, then by a seeded hash."""
-    level = levels[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
-    return s[np.argsort((level << np.uint64(58)) | (mix(s ^ np.uint64(seed)) >> np.uint64(6)), kind="stable")]
+def order_keys(s: np.ndarray, levels: np.ndarray, seed: int) -> np.ndarray:
+    """Tokens' places in one of the global orders: what few documents share first, then by a seeded hash."""
+    level = levels[s >> np.uint64(64 - SLOT_BITS)].astype(np.uint64)
+    return (level << np.uint64(58)) | (mix(s ^ np.uint64(seed)) >> np.uint64(6))
+
+
+FACTS = "doc_id long, node long, n long, sig binary, slice int, sketch binary"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document its set's digest and size; at the end the task's sketch of how many sets hold a token."""
-    names, count = ["doc_id", "node", "n", "sketch"], np.zeros(1 << SLOT_BITS, np.uint32)
+    """For each document its set's digest and size; at the end, slice by slice, the task's sketch of how many sets hold
+    a token (counts up to 255)."""
+    names, count = ["doc_id", "node", "n", "sig", "slice", "sketch"], np.zeros(1 << SLOT_BITS, np.uint16)
     for batch in batches:
-        nodes, sizes = [], []
-        for s in shingle_sets(batch.column(1)):
-            np.add.at(count, (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), np.uint32(1))
-            nodes.append(set_digest(s) if len(s) else None)
-            sizes.append(len(s))
+        nodes, sizes, sigs = [], [], []
+        for s, at in shingle_sets(batch.column(1)):
+            np.add.at(count, s >> np.uint64(64 - SLOT_BITS), np.uint16(1))
+            np.minimum(count, 1 << 15, out=count)
+            nodes.append(set_digests(s, at))
+            sizes.append(np.diff(at))
+            sigs += signatures(s, at)
         if nodes:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(nodes), pa.binary())], names)
+            n = np.concatenate(sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(nodes), mask=n == 0), pa.array(n), pa.array(sigs, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
     if count.any():
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([count.tobytes()], pa.binary())], names)
+        some = [zlib.compress(x.astype(np.uint8).tobytes(), 1) for x in np.split(np.minimum(count, 255), SLICES)]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()) for _ in range(3)), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(some, pa.binary())], names)
+
+
+def _levels(mean: float):
+    """Sums a slice of the sketches and puts it on a coarse scale: 0 for what the noise of other tokens explains."""
+
+    def over(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int64) for x in frame["sketch"])
+        extra = np.maximum(1.0, total - mean - 2 * np.sqrt(mean))
+        return pd.DataFrame({"slice": frame["slice"].iloc[:1], "levels": [np.minimum(63, np.ceil(np.log2(extra))).astype(np.uint8).tobytes()]})
+
+    return over
 
 
 ROW = np.dtype([("token", "u8"), ("node", "i8"), ("n", "u4"), ("rest", "u4")])
@@ -94,15 +164,17 @@ def _prefixes(levels: np.ndarray, buckets: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen, parts = set(), []
-            for s in shingle_sets(batch.column(0)):
-                if not len(s) or (node := set_digest(s)) in seen:
-                    continue
-                seen.add(node)
-                p = prefix_length(len(s))
-                rows = np.empty(p, ROW)
-                rows["token"], rows["node"], rows["n"] = ordered(s, levels, ORDERS[0])[:p], node, len(s)
-                rows["rest"] = len(s) - np.arange(p)
-                parts.append(rows)
+            for s, at in shingle_sets(batch.column(0)):
+                key = order_keys(s, levels, ORDERS[0])
+                for node, a, z in zip(set_digests(s, at).tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    if a == z or node in seen:
+                        continue
+                    seen.add(node)
+                    p = prefix_length(z - a)
+                    rows = np.empty(p, ROW)
+                    rows["token"], rows["node"], rows["n"] = s[a:z][key[a:z].argsort()[:p]], node, z - a
+                    rows["rest"] = np.arange(z - a, z - a - p, -1)
+                    parts.append(rows)
             if not parts:
                 continue
             rows = np.concatenate(parts)
@@ -138,83 +210,170 @@ def _groups(blobs) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.append(first, len(rows))
 
 
-STARS = "bucket int, rows binary, a long, b long, fits boolean"
+STARS = "a long, b long, fits boolean"
 
 
 def _stars(frame: pd.DataFrame) -> pd.DataFrame:
-    """Each token's sets are tied to the first of them: as many pairs as rows. The rows are kept for the second round."""
+    """Each token's sets are tied to the first of them: as many pairs as rows."""
     rows, at = _groups(frame["rows"])
     hub = np.repeat(at[:-1], np.diff(at))
     pair = hub != np.arange(len(rows))
     a, b = rows[hub[pair]], rows[pair]
-    out = pd.DataFrame({"a": a["node"], "b": b["node"], "fits": _fits(a, b)}).groupby(["a", "b"], as_index=False)["fits"].max()
-    out["bucket"], out["rows"] = int(frame["bucket"].iloc[0]), None
-    kept = pd.DataFrame({"bucket": [int(frame["bucket"].iloc[0])], "rows": [rows.tobytes()], "a": [None], "b": [None], "fits": [None]})
-    return pd.concat([kept, out])[["bucket", "rows", "a", "b", "fits"]].astype({"a": "Int64", "b": "Int64", "fits": "boolean"})
-
-
-def _across(rows_frame: pd.DataFrame, apart: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of sets that share a token and still are in different components. `apart` has the stars' pairs that did not
-    come together, with their roots; all other sets of a star are in its hub's component."""
-    rows, at = _groups(rows_frame["rows"])
-    roots: dict[int, dict[int, int]] = {}
-    own: dict[int, int] = {}
-    for a, b, ra, rb in zip(apart["a"], apart["b"], apart["ra"], apart["rb"], strict=True):
-        roots.setdefault(a, {})[b] = rb
-        own[a] = ra
-    found = []
-    hubs = rows["node"][at[:-1]] if len(rows) else np.zeros(0, np.int64)
-    for g in np.flatnonzero(np.isin(hubs, np.fromiter(roots, np.int64, len(roots)))):
-        group = rows[at[g] : at[g + 1]]
-        other = roots[int(hubs[g])]
-        root = np.array([other.get(x, own[int(hubs[g])]) for x in group["node"].tolist()], np.int64)
-        loose = np.flatnonzero(root != own[int(hubs[g])])
-        for k in range(0, len(loose), 256):
-            some = loose[k : k + 256]
-            for c in range(0, len(group), 4096):
-                x, y = group[some][:, None], group[c : c + 4096][None]
-                ok = _fits(x, y) & (root[some][:, None] != root[c : c + 4096][None])
-                i, j = np.nonzero(ok)
-                if len(i):
-                    u, v = group["node"][some[i]], group["node"][c + j]
-                    found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
-        if sum(map(len, found)) > 1 << 20:
-            found = [np.unique(np.concatenate(found), axis=0)]
-    out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pd.DataFrame(out, columns=["a", "b"])
-
-
-def _sets(levels: np.ndarray):
+    return pd.DataFrame({"a": a["node"], "b": b["node"], "fits": _fits(a, b)}).groupby(["a", "b"], as_index=False)["fits"].max()
+
+
+ACROSS = "a long, b long, loose long, gap double, meet long"
+
+
+def _across(closest: int | None):
+    """Of the stars' sides that meet in a task, the pairs of a set that isn't in its hub's component and any other set of
+    the star that is in a different one and, by sizes and signatures, can be similar; with `closest`, of each such set only
+    so many pairs, which the signatures bring closest."""
+
+    def over(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["a", "i", "j", "left"], kind="stable")
+        meets = frame[["a", "i", "j"]].to_numpy()
+        left, node, root, n, meet = (frame[c].to_numpy() for c in ("left", "node", "root", "n", "meet"))
+        sigs = Signatures(frame["sig"].tolist())
+        first = np.flatnonzero(np.append(True, (meets[1:] != meets[:-1]).any(1)))
+        last = np.append(first[1:], len(frame))
+        middle = first + np.add.reduceat((~left).astype(np.int64), first)  # others come first, then the loose ones
+        others, loose = middle - first, last - middle
+        # One row per loose set: it meets a run of others. Runs are taken so many at a time.
+        row = np.repeat(middle - (np.cumsum(loose) - loose), loose) + np.arange(int(loose.sum()))
+        run, begin = np.repeat(others, loose), np.repeat(first, loose)
+        ends, found, k = np.cumsum(run), [], 0
+        while k < len(row):
+            z = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS, "right")))
+            i = np.repeat(row[k:z], run[k:z])
+            j = np.repeat(begin[k:z] - (ends[k:z] - run[k:z]), run[k:z]) + np.arange(ends[z - 1] - run[k:z].sum(), ends[z - 1])
+            ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= needed(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            gap = sigs.differ(i, j) / np.maximum(n[i] + n[j] - 2 * needed(n[i], n[j]), 0.5)
+            ok = gap <= 1
+            i, j, gap = i[ok], j[ok], gap[ok]
+            if closest and len(i):
+                o = np.lexsort((gap, i))
+                i, j, gap = i[o], j[o], gap[o]
+                start = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+                best = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) < closest
+                i, j, gap = i[best], j[best], gap[best]
+            u, v = node[i], node[j]
+            found.append(pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v), "loose": u, "gap": gap, "meet": meet[i]}))
+            k = z
+        if not found:
+            return pd.DataFrame({c: np.zeros(0, np.float64 if c == "gap" else np.int64) for c in ("a", "b", "loose", "gap", "meet")})
+        return pd.concat(found).drop_duplicates(["a", "b", "loose"] if closest else ["a", "b"])
+
+    return over
+
+
+def _gap(n: pd.Series, m: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """By how many tokens, at least, sets differ, as a share of what similar ones may; over 1 where they can't be similar."""
+    sigs = Signatures([*a, *b])
+    i, n, m = np.arange(len(a)), n.to_numpy(), m.to_numpy()
+    return pd.Series(sigs.differ(i, i + len(a)) / np.maximum(n + m - 2 * needed(n, m), 0.5))
+
+
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    x = mix(ids.astype(np.int64).view(np.uint64) ^ np.uint64(0x3F84D5B5B5470917))
+    return np.stack([x >> np.uint64(64 - bits), (mix(x) >> np.uint64(64 - bits))])
+
+
+def _filter_rows(bits: int):
+    """A Bloom filter of the ids, slice by slice of its bits."""
+
+    def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(1 << bits, bool)
+        for f in frames:
+            seen[_places(f["rep"].to_numpy(), bits).ravel()] = True
+        yield pd.DataFrame({"bitmap": [zlib.compress(np.packbits(seen).tobytes(), 1)]})
+
+    return over
+
+
+SETS = "node long, tokens binary, heads binary"
+
+
+def _sets(levels: np.ndarray, bitmap: bytes, bits: int):
+    """The sets of the documents that the filter lets through: the digest, the tokens in the order of their hashes, and
+    the prefixes under the further orders (cut to 32 bits, as they only filter)."""
+    packed = np.frombuffer(bitmap, np.uint8)
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = whole.slice(i, 500)
-                want = batch.column(1).to_pylist()
-                got = [(w, s) for w, s in zip(want, shingle_sets(batch.column(0)), strict=True) if len(s) and set_digest(s) == w]
-                heads = [np.concatenate([ordered(s, levels, seed)[: prefix_length(len(s))] for _, s in got]).view(np.int64) if got else np.zeros(0, np.int64) for seed in ORDERS[1:]]
-                head_at = np.cumsum([0, *(prefix_length(len(s)) for _, s in got)]).astype(np.int32)
-                at = np.cumsum([0, *(len(s) for _, s in got)]).astype(np.int32)
-                flat_sets = np.concatenate([s for _, s in got]).view(np.int64) if got else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([w for w, _ in got], pa.int64()), pa.ListArray.from_arrays(at, flat_sets), *(pa.ListArray.from_arrays(head_at, h) for h in heads)],
-                    ["node", "tokens", *(f"head{k}" for k in range(1, len(ORDERS)))],
-                )
+            where = _places(whole.column(0).to_numpy(zero_copy_only=False), bits)
+            on = ((packed[where >> np.uint64(3)] >> (7 - (where & np.uint64(7))).astype(np.uint8)) & 1).all(0)
+            wanted = whole.filter(pa.array(on.astype(bool)))
+            for s, at in shingle_sets(wanted.column(1)):
+                keys, rows = [order_keys(s, levels, seed) for seed in ORDERS[1:]], []
+                for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    p = prefix_length(z - a) if a < z else 0
+                    heads = [np.sort(s[a:z][k[a:z].argsort()[:p]].astype(np.uint32)) for k in keys]
+                    rows.append((s[a:z].tobytes(), np.concatenate(heads).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(set_digests(s, at), pa.int64()), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], ["node", "tokens", "heads"])
 
     return over
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Of the pairs (a, b) those whose sets share a prefix token under every other order too, and are similar."""
-    want = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select("rep", "node")
-    kind = "node long, tokens array<long>, " + ", ".join(f"head{k} array<long>" for k in range(1, len(ORDERS)))
-    sets = docs.join(want, docs["doc_id"] == want["rep"]).select("text", "node").mapInArrow(_sets(levels), kind).dropDuplicates(["node"])
-    side = lambda x: sets.select(*(F.col(c).alias(f"{x}_{c}") for c in sets.columns))
-    both = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
-    for k in range(1, len(ORDERS)):
-        both = both.where(F.arrays_overlap(f"a_head{k}", f"b_head{k}"))
-    both = both.withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")))
-    union = F.size("a_tokens") + F.size("b_tokens") - F.col("common")
-    return both.where(SHARE[1] * F.col("common") >= SHARE[0] * union).select("a", "b")
+def _meets(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _compare(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    """Of a task's pairs those whose sets share a prefix token under every further order and are similar then."""
+    tokens = {n: np.frombuffer(t, np.uint64) for n, t in zip(sets["node"], sets["tokens"], strict=True)}
+    heads = {n: np.frombuffer(h, np.uint32).reshape(len(ORDERS) - 1, -1) for n, h in zip(sets["node"], sets["heads"], strict=True)}
+    found = []
+    for a, b in zip(pairs["a"], pairs["b"], strict=True):
+        # Cut to 32 bits a prefix may hold a value twice, which lets a pair through in vain at worst.
+        if all(_meets(x, y) for x, y in zip(heads[a], heads[b], strict=True)):
+            common = _meets(tokens[a], tokens[b])
+            if SHARE[1] * common >= SHARE[0] * (len(tokens[a]) + len(tokens[b]) - common):
+                found.append((a, b))
+    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, levels: np.ndarray, tasks: int) -> DataFrame:
+    """Of the pairs (a, b, meet) those whose sets share a prefix token under every other order too, and are similar.
+
+    Pairs with the same `meet` are compared in one task, to which each of their sets goes once. Which documents are
+    needed is told to the scan by a Bloom filter of 16 bits an id, of 2**26 bits at most; what it lets through in vain
+    meets no pair."""
+    pairs = stable(pairs.groupBy("a", "b").agg(F.pmod(F.xxhash64(F.min("meet")), F.lit(tasks)).alias("task")))
+    places = stable(pairs.select("task", F.explode(F.array("a", "b")).alias("node")).distinct())
+    want = stable(places.select("node").distinct().join(reps, "node").select("rep"))
+    bits = min(26, max(10, (16 * want.count()).bit_length()))
+    merged = want.repartition(8).mapInPandas(_filter_rows(bits), "bitmap binary").collect()
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
+    for row in merged:
+        bitmap |= np.frombuffer(zlib.decompress(row[0]), np.uint8)
+    sets = docs.mapInArrow(_sets(levels, bitmap.tobytes(), bits), SETS)
+    sent = places.join(sets, "node").select(F.col("task").alias("to"), "node", "tokens", "heads")
+    return pairs.groupBy("task").cogroup(sent.groupBy("to")).applyInPandas(_compare, "a long, b long")
+
+
+def _pairs_across(tied: DataFrame, roots: DataFrame, nodes: DataFrame, tasks: int, closest: int | None) -> DataFrame:
+    """Pairs within the stars that have not come together. Each set comes with its root, and the loose ones, which aren't
+    in the hub's component, once more as a side of their own. A large star is cut into blocks of sides, each pair of
+    which is for one task."""
+    ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    rooted = tied.join(ra, "a", "left").join(rb, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+    open_ = rooted.groupBy("a").agg(F.count(F.lit(1)).alias("size"), F.first("ra").alias("ra"), F.max(F.col("ra") != F.col("rb")).alias("open")).where("open")
+    open_ = stable(open_.select("a", "ra", "size", F.ceil((F.col("size") + 1) / SIDE).cast("int").alias("sides")))
+    sets = rooted.select("a", F.col("b").alias("node"), F.col("rb").alias("root")).join(open_, "a")
+    sets = sets.unionByName(open_.select("a", F.col("a").alias("node"), F.col("ra").alias("root"), "ra", "size", "sides"))
+    sets = sets.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
+    all_ = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
+    others = sets.select("a", F.col("mine").alias("j"), all_.alias("i"), "node", "root", "size", F.lit(False).alias("left"))
+    loose = sets.where("root <> ra").select("a", F.col("mine").alias("i"), all_.alias("j"), "node", "root", "size", F.lit(True).alias("left"))
+    sides = others.unionByName(loose).join(nodes.select("node", "n", "sig"), "node")
+    # The least number is that of the largest star: pairs that several stars hold meet there, with few copies of a set.
+    large = F.shiftleft(F.lit(1 << 31) - F.least("size", F.lit(1 << 31)), 32)
+    sides = sides.withColumn("meet", large + F.pmod(F.xxhash64("a", "i", "j"), F.lit(1 << 32))).drop("size")
+    return sides.groupBy(F.pmod(F.xxhash64("meet"), F.lit(tasks)).alias("task")).applyInPandas(_across(closest), ACROSS)
 
 
 def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
@@ -226,53 +385,58 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text") -> DataFra
     sizes and what is left of both sets allow it; before the sets themselves are compared, it must share a prefix token
     under each further order. The orders put tokens that many sets hold last (by a sketch of fixed size) and differ in
     the rest. First each token ties its sets to one of them, so that a group of copies gives as many pairs as it has
-    members. Then the pairs of sets that share a token and are still in different components are checked, all of
-    them, so that no link between components is missed. Tokens and sets are told apart by 64-bit hashes.
+    members; such a star holds all pairs that share the token. The closest pairs of each set outside its hub's component
+    are checked then, some times, and at last all pairs of a star across components that are left, so that no link
+    between components is missed. Signatures rule out sets that differ too much before a pair is ever
+    written down. Tokens and sets are told apart by 64-bit hashes.
 
     Null and empty texts have no shingles and are linked with nothing; a text of fewer words is one shingle. Rows that
     repeat an id are one document; rows without an id get a null component and link nothing; no rows give no rows.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profile = stable(docs.mapInArrow(_profile, "doc_id long, node long, n long, sketch binary"))
-    facts = profile.where("sketch is null").drop("sketch")
+    docs = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    profile = stable(docs.mapInArrow(_profile, FACTS))
+    facts = profile.where("slice is null").select("doc_id", "node", "n", "sig")
     named = facts.where("doc_id is not null and node is not null")
-    # Sums of the tasks' sketches, made in many tasks, then 2**SLOT_BITS numbers for the driver.
-    parts = profile.where("sketch is not null").select("sketch").repartition(32).mapInPandas(_added, "sketch binary").coalesce(1).mapInPandas(_added, "sketch binary").collect()
-    count = np.frombuffer(parts[0][0], np.uint64) if parts else np.zeros(1 << SLOT_BITS, np.uint64)
-    levels = np.clip(np.log2(np.maximum(count / max(1.0, count.mean()), 1.0)), 0, 63).astype(np.uint8)
+    # The sketch's levels, 2**SLOT_BITS bytes whatever the input, go to the driver and with the plan.
+    mean = (facts.agg(F.sum("n")).first()[0] or 0) / (1 << SLOT_BITS)
+    parts = profile.where("slice is not null").groupBy("slice").applyInPandas(_levels(mean), "slice int, levels binary").collect()
+    levels = np.zeros(1 << SLOT_BITS, np.uint8)
+    for i, x in parts:
+        levels[i * len(x) : (i + 1) * len(x)] = np.frombuffer(x, np.uint8)
 
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(total) // (4 << 20)))
     with_id = docs.where("doc_id is not null")
     packed = with_id.select("text").mapInArrow(_prefixes(levels, buckets), "bucket int, rows binary")
-    stars = stable(packed.groupBy("bucket").applyInPandas(_stars, STARS))
-    kept = stars.where("rows is not null").select("bucket", "rows")
-    tied = stars.where("rows is null")
-    reps = named.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    # Of each set only the pair with the most tokens behind it is compared in the first round.
-    pairs = tied.groupBy("a", "b").agg(F.max("fits").alias("fits"), F.count(F.lit(1)).alias("times"))
-    best = pairs.where("fits").groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
-    links = stable(_verified(best.select("a", "b"), with_id, reps, levels))
+    tied = packed.groupBy("bucket").applyInPandas(_stars, STARS)
+    tied = stable(tied.groupBy("a", "b").agg(F.max("fits").alias("fits")))
+    nodes = stable(named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    reps = nodes.select("node", "rep")
+    # Of each set the pair that its signature brings closest is compared in the first round.
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"))
+    pairs = tied.where("fits").select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    gap = F.pandas_udf(_gap, "double")("na", "nb", "siga", "sigb")
+    best = stable(pairs.select("a", "b", gap.alias("gap")).where("gap <= 1").groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")))
+    tasks = max(32, buckets)
+    # A set that many others are paired with meets some hundred of them in a task.
+    many = best.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).alias("parts"))
+    best = best.join(many, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("meet"))
+    links = stable(_verified(best, with_id, reps, levels, tasks))
     roots = stable(components(links))
-    ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    apart = (
-        tied.select("bucket", "a", "b").join(ra, "a", "left").join(rb, "b", "left")
-        .select(F.col("bucket").alias("of"), "a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
-    )
-    across = kept.groupBy("bucket").cogroup(apart.groupBy("of")).applyInPandas(_across, "a long, b long").distinct()
-    more = stable(_verified(stable(across), with_id, reps, levels))
-    if not more.isEmpty():
-        roots = stable(components(links.unionByName(more)))
-    placed = facts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Then, some times, the closest pairs of each set outside its hub's component, and at last all pairs across components
+    # that are left.
+    for closest in (*CLOSEST, None):
+        across = _pairs_across(tied, roots, nodes, tasks, closest)
+        if closest:
+            near = F.slice(F.array_sort(F.collect_list(F.struct("gap", "a", "b", "meet"))), 1, closest)
+            across = across.groupBy("loose").agg(near.alias("near")).select(F.explode("near").alias("p")).select("p.a", "p.b", "p.meet")
+        more = stable(_verified(across, with_id, reps, levels, tasks))
+        if not more.isEmpty():
+            links = stable(links.unionByName(more))
+            roots = stable(components(links))
+    placed = facts.drop("sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = placed.where("root is not null and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     placed = placed.join(first, "root", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return placed.select("doc_id", F.col("n").alias("n_shingles"), "node", component.alias("component_id"))
 
-
-def _added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(1 << SLOT_BITS, np.uint64)
-    for f in frames:
-        for x in f["sketch"]:
-            total += np.frombuffer(x, np.uint64 if len(x) == 8 << SLOT_BITS else np.uint32)
-    yield pd.DataFrame({"sketch": [total.tobytes()]})
