@@ -17,17 +17,14 @@ from termloom.llm.line_dedup import line_dedup
 from termloom.llm.lm_scoring import lm_score
 from termloom.llm.mixing import MOST, WEIGHTS, mix_sources
 from termloom.llm.quality_rules import RULES, STOP_WORDS, quality_rules
-from termloom.llm.substring_dedup import substring_dedup
+from termloom.llm.substring_dedup import MIN_WORDS, UNIT_WORDS, substring_dedup
 from termloom.llm.suffix_dedup import suffix_dedup
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("sd.spans", lambda s: F.concat_ws(":", s["start"], s["end"], s["keeper"], s["keeper_unit"])), ",")
-    return out.select(
-        "doc_id", "sd.n_units", F.size("sd.spans").cast("long").alias("n_removed"), "sd.n_chars_removed",
-        spans.alias("spans"), "sd.kept_sha256",
-    )
+    return out.select("doc_id", "sd.n_units", "sd.n_removed", "sd.n_chars_removed", spans.alias("spans"), "sd.kept_sha256")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,18 +103,24 @@ _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 _OP1 = rf"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-u AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS unit FROM d),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(regexp_replace(coalesce(text, ''), '([.!?][\x20\x09\x0B-\x0D])', '\1' || chr(10), 'g'), chr(10)) AS units FROM documents),
+u AS (SELECT doc_id, unnest(units) AS line, unnest(range(len(units))) AS unit FROM d),
 k AS (SELECT doc_id, unit, line, trim(regexp_replace(translate(line, '{_UP}', '{_LOW}'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), {_BLANKS}) AS key,
-        coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos0 FROM u),
-r AS (SELECT *, CASE WHEN length(key) >= 40 THEN first_value(doc_id) OVER w END AS kd, first_value(unit) OVER w AS ku FROM k
+        length(line) + (NOT regexp_matches(line, '[.!?][\x20\x09\x0B-\x0D]$'))::INT AS wide FROM u),
+p AS (SELECT *, coalesce(sum(wide) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos0,
+        len(string_split(key, ' ')) AS words FROM k),
+f AS (SELECT *, first_value(doc_id) OVER w AS kd, first_value(unit) OVER w AS ku FROM p WHERE words >= {UNIT_WORDS}
       WINDOW w AS (PARTITION BY key ORDER BY doc_id, unit ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-g AS (SELECT *, kd IS NOT NULL AND (kd <> doc_id OR ku <> unit) AS gone FROM r)
-SELECT doc_id, count(*)::BIGINT AS n_units, count(*) FILTER (gone)::BIGINT AS n_removed,
-  coalesce(sum(length(line)) FILTER (gone), 0)::BIGINT AS n_chars_removed,
-  coalesce(string_agg(pos0::BIGINT || ':' || (pos0 + length(line))::BIGINT || ':' || kd || ':' || ku, ',' ORDER BY unit) FILTER (gone), '') AS spans,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT gone), '')) AS kept_sha256
-FROM g GROUP BY doc_id
+g AS (SELECT *, kd <> doc_id OR ku <> unit AS again FROM f),
+i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit) - row_number() OVER (PARTITION BY doc_id, again ORDER BY unit) AS island FROM g),
+r AS (SELECT doc_id, min(pos0) AS a, max(pos0 + length(line)) AS z, count(*) AS n, arg_min(kd, unit) AS kd, arg_min(ku, unit) AS ku
+      FROM i WHERE again GROUP BY doc_id, island HAVING sum(words) >= {MIN_WORDS}),
+s AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+e AS (SELECT doc_id, sum(n)::BIGINT AS n_removed, sum(z - a)::BIGINT AS gone, max(z) AS last, string_agg(a || ':' || z || ':' || kd || ':' || ku, ',' ORDER BY a) AS spans FROM s GROUP BY doc_id),
+t AS (SELECT doc_id, string_agg(substring(text, before + 1, a - before), '' ORDER BY a) AS kept FROM s JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(units)::BIGINT AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(gone, 0) AS n_chars_removed, coalesce(spans, '') AS spans,
+  sha256(CASE WHEN kept IS NULL THEN text ELSE kept || substring(text, last + 1) END) AS kept_sha256
+FROM d LEFT JOIN e USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 _OP7 = f"""

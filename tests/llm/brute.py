@@ -22,23 +22,42 @@ def sha(t):
     return hashlib.sha256(t if isinstance(t, bytes) else t.encode()).hexdigest()
 
 
-def substring_dedup(docs, min_chars=40):
-    key = lambda x: re.sub(r"[\x20\x09\x0B-\x0D]+", " ", lower(x)).strip(BLANKS)
+def units(t):
+    """(start, end) of lines and of sentences in them."""
+    out, a = [], 0
+    for k, c in enumerate(t):
+        if c == "\n":
+            out.append((a, k))
+            a = k + 1
+        elif c in BLANKS and k > a and t[k - 1] in ".!?":
+            out.append((a, k + 1))
+            a = k + 1
+    return [*out, (a, len(t))]
+
+
+def substring_dedup(docs, min_words=25, unit_words=3):
+    key = lambda x: tuple(words(lower(x)))
     first = {}
     for i, t in sorted((d for d in docs if d[0] is not None), key=lambda d: d[0]):
-        for u, x in enumerate((t or "").split("\n")):
-            if len(key(x)) >= min_chars:
-                first.setdefault(key(x), (i, u))
+        for u, (a, z) in enumerate(units(t or "")):
+            first.setdefault(key((t or "")[a:z]), (i, u))
     out = {}
     for i, t in docs:
-        kept, spans, at = [], [], 0
-        for u, x in enumerate((t or "").split("\n")):
-            if i is not None and len(key(x)) >= min_chars and first[key(x)] != (i, u):
-                spans.append((at, at + len(x), *first[key(x)]))
+        t, spans, run = t or "", [], []
+        for u, (a, z) in [*enumerate(units(t)), (None, (0, 0))]:
+            k = key(t[a:z])
+            if u is not None and len(k) < unit_words:
+                continue
+            if u is not None and i is not None and first[k] != (i, u):
+                run.append((a, z, k))
             else:
-                kept.append(x)
-            at += len(x) + 1
-        out[i] = (spans, "\n".join(kept))
+                if sum(len(k) for *_, k in run) >= min_words:
+                    spans.append((run[0][0], run[-1][1], *first[run[0][2]]))
+                run = []
+        kept, at = "", 0
+        for a, z, *_ in spans:
+            kept, at = kept + t[at:a], z
+        out[i] = (spans, kept + t[at:])
     return out
 
 

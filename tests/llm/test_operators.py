@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from conftest import SCHEMA
+from llm_helpers import SCHEMA
 from termloom.llm import queries, suffix_dedup as sd
 from termloom.llm.chat_format import chat_template, escape, format_chats, read_turn, render, unescape
 from termloom.llm.decontamination import FMIndex, WaveletTree, decontaminate, suffix_array, without_spans
@@ -44,9 +44,27 @@ def test_substring_dedup(docs, odd_docs, empty, rows):
             spans = [(s["start"], s["end"], s["keeper"], s["keeper_unit"]) for s in r[name]["spans"]]
             assert (spans, r[name]["kept"]) == want[r["doc_id"]]
             assert all(r["text"][s["start"] : s["end"]].strip() for s in r[name]["spans"])
+        assert any(s for s, _ in want.values())
     assert substring_dedup(empty).count() == 0
 
 
+def test_passages_inside_lines(spark):
+    """A passage is found wherever it stands in a line; a phrase that recurs stays; a text repeats itself; long texts."""
+    rng = random.Random(8)
+    say = lambda k: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(k))
+    passage = " ".join(f"{say(12).capitalize()}." for _ in range(5))
+    phrase = f"{say(9)}."
+    long = "\n".join(" ".join(f"{say(9)}!" for _ in range(20)) for _ in range(2000))
+    rows = [
+        (1, f"{say(4)} {say(5)}. {passage} {say(7)}"), (2, f"{say(30)} x. {passage.upper()}  {say(3)}"), (3, f"{say(20)}. {phrase}"), (4, f"{say(20)}. {phrase}"),
+        (5, f"{passage}\n{passage}"), (6, long), (7, f"{long} {say(4)}"), (8, passage.replace(". ", ".\n")), (9, "no. " * 50_000),
+    ]
+    got = {r["doc_id"]: r["sd"] for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.substring_dedup(rows)
+    assert {i: ([(s["start"], s["end"], s["keeper"], s["keeper_unit"]) for s in r["spans"]], r["kept"]) for i, r in got.items()} == want
+    assert sorted(i for i, r in got.items() if r["n_removed"]) == [2, 5, 7, 8] and got[5]["kept"].strip() == "" and got[4]["n_chars_removed"] == 0
+
+
 # 2 ---------------------------------------------------------------------------
 
 
