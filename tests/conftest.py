@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), os.environ.get("PYTHONPATH", "")])
 
 
@@ -20,14 +20,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def lexicon(locale="de-DE", default=None, **entries):
-    """A document with one entry per keyword: a label, surface forms, or a whole entity."""
-
-    def entity(x):
-        if isinstance(x, str):
-            x = {"preferred": {"singular": x}}
-        return x if "locales" in x else {"locales": {locale: x}}
-
-    return {"schemaVersion": "1", "defaultLocale": default or locale, "entities": {k: entity(v) for k, v in entries.items()}}

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from conftest import lexicon
+from core_helpers import lexicon
 from oracle import resolve
 from termloom.functions.canonical import deserialize, report_from_json, report_json, serialize
 from termloom.functions.folding import fold, fold_with_origins, original_span

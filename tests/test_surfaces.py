@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from conftest import lexicon
+from core_helpers import lexicon
 from termloom.cli import main
 from termloom.operators.overlap import resolve
 from termloom.plans import catalogue
