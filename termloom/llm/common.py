@@ -46,6 +46,13 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def snug(df: DataFrame, rows: int = 1 << 14) -> DataFrame:
+    """`df` cut off from its lineage, in as many partitions as its counted rows ask for, some `rows` each: a small table
+    then doesn't cost every later exchange a file a task."""
+    df = stable(df)
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 #: Rows of whole texts that go to a Python worker at a time.
 ARROW_ROWS = 1000
 

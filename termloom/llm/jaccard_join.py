@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import NOT_BLANK, chunks, flat, mix, small_batches, stable, word_hashes, words
+from termloom.llm.common import NOT_BLANK, chunks, flat, mix, small_batches, snug, stable, word_hashes, words
 from termloom.llm.graph import components
 
 #: Words in a shingle, and the similarity of a link as a fraction.
@@ -23,10 +23,12 @@ ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 CHUNK = 4 << 20
 #: Bits of the longest signature.
 MOST_BITS = 1 << 14
-#: Sets of a star that meet as one side in a task of the second round, and the pairs that it holds at a time.
-SIDE, PAIRS = 1024, 1 << 20
-#: How many of the closest pairs of a set are compared in each pass, before all that are left.
+#: Sets of a star that meet as one side in a task, the pairs that it looks at a time, and the sets of small stars in a task.
+SIDE, PAIRS, SMALL = 1024, 1 << 20, 4096
+#: How many of the closest pairs of a set are compared in the first pass across components, before all that are left.
 CLOSEST = (2,)
+#: Tokens of the sets that a task compares, and the most ids that a Bloom filter picks; beyond, a join does.
+TOKENS, FILTERED = 1 << 20, 1 << 22
 ODD = np.array([0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0x9FB21C651E98DF25, 0xBD8CF76A4B1D3C4B], np.uint64)
 
 
@@ -54,14 +56,15 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[np.ndarray
         yield h[new], np.searchsorted(text[new], np.arange(len(n) + 1))
 
 
-def set_digests(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit digest for each set, by which equal sets are one node; 0 for an empty one."""
-    out = np.zeros(len(at) - 1, np.uint64)
+def set_digests(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests for each set, by which together equal sets are one node; 0 for an empty one."""
+    hi, lo = np.zeros((2, len(at) - 1), np.uint64)
     full = np.flatnonzero(np.diff(at))
     if len(full):
-        x, y = (np.add.reduceat(mix(s ^ np.uint64(c)), at[full]) for c in (0x452821E638D01377, 0xBE5466CF34E90C6C))
-        out[full] = mix(mix(x) ^ y ^ (np.diff(at)[full].astype(np.uint64) << np.uint64(40)))
-    return out.view(np.int64)
+        n = np.diff(at)[full].astype(np.uint64)
+        sums = [np.add.reduceat(mix(s ^ np.uint64(c)), at[full]) for c in (0x452821E638D01377, 0xBE5466CF34E90C6C, 0xC0AC29B7C97C50DD, 0x3F84D5B5B5470917)]
+        hi[full], lo[full] = mix(mix(sums[0] ^ n) ^ sums[1]), mix(mix(sums[2]) ^ sums[3] ^ n)
+    return hi.view(np.int64), lo.view(np.int64)
 
 
 def signatures(s: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -76,31 +79,32 @@ def signatures(s: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 class Signatures:
-    """Signatures of some sets, and how many bits those of pairs differ in at least."""
+    """Signatures of some sets, and how many bits those of pairs differ in at least. For each length that occurs there is a
+    table of the signatures of that length and of longer ones, folded to it."""
 
     def __init__(self, sigs: list[bytes]):
         self.bits = np.array([8 * len(x) for x in sigs], np.int64)
-        self.maps, b = {}, MOST_BITS
-        size = b // 64
-        full = np.zeros((len(sigs), size), np.uint64)
-        while b >= 128:
+        self.maps, self.place = {}, {}
+        held, full = np.zeros(0, np.int64), np.zeros((0, MOST_BITS // 64), np.uint64)
+        for b in sorted(set(self.bits.tolist()), reverse=True):
+            while full.shape[1] > b // 64:
+                full = full[:, : full.shape[1] // 2] ^ full[:, full.shape[1] // 2 :]
             own = np.flatnonzero(self.bits == b)
-            full = full[:, : b // 64] ^ full[:, b // 64 :] if full.shape[1] > b // 64 else full
-            if len(own):
-                full = full.copy()
-                full[own] = np.frombuffer(b"".join(sigs[i] for i in own), np.uint64).reshape(len(own), b // 64)
-            self.maps[b] = full
-            b //= 2
+            held = np.concatenate([held, own])
+            full = np.concatenate([full, np.frombuffer(b"".join(sigs[i] for i in own), np.uint64).reshape(len(own), b // 64)])
+            where = np.full(len(sigs), -1, np.int32)
+            where[held] = np.arange(len(held))
+            self.maps[b], self.place[b] = full, where
 
     def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), np.int64)
         common = np.minimum(self.bits[i], self.bits[j])
         for b, maps in self.maps.items():
-            on = np.flatnonzero(common == b)
+            on, where = np.flatnonzero(common == b), self.place[b]
             step = max(1, (1 << 27) // b)
             for k in range(0, len(on), step):
                 some = on[k : k + step]
-                out[some] = np.bitwise_count(maps[i[some]] ^ maps[j[some]]).sum(1)
+                out[some] = np.bitwise_count(maps[where[i[some]]] ^ maps[where[j[some]]]).sum(1)
         return out
 
 
@@ -121,27 +125,30 @@ def order_keys(s: np.ndarray, levels: np.ndarray, seed: int) -> np.ndarray:
     return (level << np.uint64(58)) | (mix(s ^ np.uint64(seed)) >> np.uint64(6))
 
 
-FACTS = "doc_id long, node long, n long, sig binary, slice int, sketch binary"
+FACTS = "doc_id long, hi long, lo long, n long, sig binary, slice int, sketch binary"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each document its set's digest and size; at the end, slice by slice, the task's sketch of how many sets hold
     a token (counts up to 255)."""
-    names, count = ["doc_id", "node", "n", "sig", "slice", "sketch"], np.zeros(1 << SLOT_BITS, np.uint16)
+    names, count = ["doc_id", "hi", "lo", "n", "sig", "slice", "sketch"], np.zeros(1 << SLOT_BITS, np.uint16)
     for batch in batches:
-        nodes, sizes, sigs = [], [], []
+        his, los, sizes, sigs = [], [], [], []
         for s, at in shingle_sets(batch.column(1)):
             np.add.at(count, s >> np.uint64(64 - SLOT_BITS), np.uint16(1))
             np.minimum(count, 1 << 15, out=count)
-            nodes.append(set_digests(s, at))
+            hi, lo = set_digests(s, at)
+            his.append(hi)
+            los.append(lo)
             sizes.append(np.diff(at))
             sigs += signatures(s, at)
-        if nodes:
+        if sizes:
             n = np.concatenate(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(nodes), mask=n == 0), pa.array(n), pa.array(sigs, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+            digests = [pa.array(np.concatenate(x), mask=n == 0) for x in (his, los)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *digests, pa.array(n), pa.array(sigs, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
     if count.any():
         some = [zlib.compress(x.astype(np.uint8).tobytes(), 1) for x in np.split(np.minimum(count, 255), SLICES)]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()) for _ in range(3)), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(some, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()) for _ in range(4)), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(some, pa.binary())], names)
 
 
 def _levels(mean: float):
@@ -155,24 +162,26 @@ def _levels(mean: float):
     return over
 
 
-ROW = np.dtype([("token", "u8"), ("node", "i8"), ("n", "u4"), ("rest", "u4")])
+ROW = np.dtype([("token", "u8"), ("hi", "i8"), ("lo", "i8"), ("n", "u4"), ("rest", "u4")])
 
 
 def _prefixes(levels: np.ndarray, buckets: int):
-    """Rows (token, set, its size, how much of it is left from the token on) of the sets' prefixes, packed by bucket."""
+    """Rows (token, set, its size, how much of it is left from the token on) of the sets' prefixes, packed by bucket. A set
+    that a task meets again is passed over."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            seen, parts = set(), []
+            parts = []
             for s, at in shingle_sets(batch.column(0)):
-                key = order_keys(s, levels, ORDERS[0])
-                for node, a, z in zip(set_digests(s, at).tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    if a == z or node in seen:
+                key, (hi, lo) = order_keys(s, levels, ORDERS[0]), set_digests(s, at)
+                for h, l, a, z in zip(hi.tolist(), lo.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    if a == z or (h, l) in seen:
                         continue
-                    seen.add(node)
+                    seen.add((h, l))
                     p = prefix_length(z - a)
                     rows = np.empty(p, ROW)
-                    rows["token"], rows["node"], rows["n"] = s[a:z][key[a:z].argsort()[:p]], node, z - a
+                    rows["token"], rows["hi"], rows["lo"], rows["n"] = s[a:z][key[a:z].argsort()[:p]], h, l, z - a
                     rows["rest"] = np.arange(z - a, z - a - p, -1)
                     parts.append(rows)
             if not parts:
@@ -198,10 +207,10 @@ def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _groups(blobs) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows of the tokens that several sets hold, in the order of (token, set), and where each token begins."""
     rows = np.concatenate([np.frombuffer(x, ROW) for x in blobs]) if len(blobs) else np.zeros(0, ROW)
-    rows = rows[np.lexsort((rows["node"], rows["token"]))]
+    rows = rows[np.lexsort((rows["lo"], rows["hi"], rows["token"]))]
     if len(rows):
         new = np.ones(len(rows), bool)
-        new[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["node"][1:] != rows["node"][:-1])
+        new[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["hi"][1:] != rows["hi"][:-1]) | (rows["lo"][1:] != rows["lo"][:-1])
         rows = rows[new]
         first = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1]))
         size = np.diff(np.append(first, len(rows)))
@@ -210,7 +219,7 @@ def _groups(blobs) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.append(first, len(rows))
 
 
-STARS = "a long, b long, fits boolean"
+STARS = "ahi long, alo long, bhi long, blo long, fits boolean"
 
 
 def _stars(frame: pd.DataFrame) -> pd.DataFrame:
@@ -219,10 +228,15 @@ def _stars(frame: pd.DataFrame) -> pd.DataFrame:
     hub = np.repeat(at[:-1], np.diff(at))
     pair = hub != np.arange(len(rows))
     a, b = rows[hub[pair]], rows[pair]
-    return pd.DataFrame({"a": a["node"], "b": b["node"], "fits": _fits(a, b)}).groupby(["a", "b"], as_index=False)["fits"].max()
+    fits = _fits(a, b)
+    o = np.lexsort((~fits, b["lo"], b["hi"], a["lo"], a["hi"]))
+    a, b, fits = a[o], b[o], fits[o]
+    new = np.ones(len(o), bool)
+    new[1:] = (a["hi"][1:] != a["hi"][:-1]) | (a["lo"][1:] != a["lo"][:-1]) | (b["hi"][1:] != b["hi"][:-1]) | (b["lo"][1:] != b["lo"][:-1])
+    return pd.DataFrame({"ahi": a["hi"], "alo": a["lo"], "bhi": b["hi"], "blo": b["lo"], "fits": fits})[new]
 
 
-ACROSS = "a long, b long, loose long, gap double, meet long"
+ACROSS = "a long, b long, loose long, gap double, meet long, w long"
 
 
 def _across(closest: int | None):
@@ -231,10 +245,10 @@ def _across(closest: int | None):
     so many pairs, which the signatures bring closest."""
 
     def over(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["a", "i", "j", "left"], kind="stable")
+        frame = frame.sort_values(["a", "i", "j", "left", "node"], kind="stable")
         meets = frame[["a", "i", "j"]].to_numpy()
-        left, node, root, n, meet = (frame[c].to_numpy() for c in ("left", "node", "root", "n", "meet"))
-        sigs = Signatures(frame["sig"].tolist())
+        left, node, root, n = (frame[c].to_numpy() for c in ("left", "node", "root", "n"))
+        meet, sigs = int(frame["meet"].iloc[0]), Signatures(frame["sig"].tolist())
         first = np.flatnonzero(np.append(True, (meets[1:] != meets[:-1]).any(1)))
         last = np.append(first[1:], len(frame))
         middle = first + np.add.reduceat((~left).astype(np.int64), first)  # others come first, then the loose ones
@@ -259,10 +273,10 @@ def _across(closest: int | None):
                 best = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) < closest
                 i, j, gap = i[best], j[best], gap[best]
             u, v = node[i], node[j]
-            found.append(pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v), "loose": u, "gap": gap, "meet": meet[i]}))
+            found.append(pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v), "loose": u, "gap": gap, "meet": meet, "w": n[i] + n[j]}))
             k = z
         if not found:
-            return pd.DataFrame({c: np.zeros(0, np.float64 if c == "gap" else np.int64) for c in ("a", "b", "loose", "gap", "meet")})
+            return pd.DataFrame({c: np.zeros(0, np.float64 if c == "gap" else np.int64) for c in ("a", "b", "loose", "gap", "meet", "w")})
         return pd.concat(found).drop_duplicates(["a", "b", "loose"] if closest else ["a", "b"])
 
     return over
@@ -281,37 +295,70 @@ def _places(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _filter_rows(bits: int):
-    """A Bloom filter of the ids, slice by slice of its bits."""
+    """A Bloom filter of the ids."""
 
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(1 << bits, bool)
         for f in frames:
-            seen[_places(f["rep"].to_numpy(), bits).ravel()] = True
+            seen[_places(f["node"].to_numpy(), bits).ravel()] = True
         yield pd.DataFrame({"bitmap": [zlib.compress(np.packbits(seen).tobytes(), 1)]})
 
     return over
 
 
-SETS = "node long, tokens binary, heads binary"
-
-
-def _sets(levels: np.ndarray, bitmap: bytes, bits: int):
-    """The sets of the documents that the filter lets through: the digest, the tokens in the order of their hashes, and
-    the prefixes under the further orders (cut to 32 bits, as they only filter)."""
+def _filtered(bitmap: bytes, bits: int):
+    """The documents that the filter lets through."""
     packed = np.frombuffer(bitmap, np.uint8)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             where = _places(whole.column(0).to_numpy(zero_copy_only=False), bits)
             on = ((packed[where >> np.uint64(3)] >> (7 - (where & np.uint64(7))).astype(np.uint8)) & 1).all(0)
-            wanted = whole.filter(pa.array(on.astype(bool)))
-            for s, at in shingle_sets(wanted.column(1)):
-                keys, rows = [order_keys(s, levels, seed) for seed in ORDERS[1:]], []
-                for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    p = prefix_length(z - a) if a < z else 0
-                    heads = [np.sort(s[a:z][k[a:z].argsort()[:p]].astype(np.uint32)) for k in keys]
-                    rows.append((s[a:z].tobytes(), np.concatenate(heads).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(set_digests(s, at), pa.int64()), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], ["node", "tokens", "heads"])
+            yield whole.filter(pa.array(on.astype(bool)))
+
+    return over
+
+
+def _wanted(docs: DataFrame, want: DataFrame) -> DataFrame:
+    """The documents whose ids are in `want` (column node), and perhaps some others. A Bloom filter of 16 bits an id, of
+    8 MB at most, picks them where they lie; more ids than it can hold are joined."""
+    want = snug(want)
+    count = want.count()
+    if count > FILTERED:
+        return docs.join(want, F.col("doc_id") == F.col("node"), "left_semi")
+    bits = max(10, (16 * count).bit_length())
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
+    for row in want.coalesce(8).mapInPandas(_filter_rows(bits), "bitmap binary").collect():
+        bitmap |= np.frombuffer(zlib.decompress(row[0]), np.uint8)
+    return docs.mapInArrow(_filtered(bitmap.tobytes(), bits), "doc_id long, text string")
+
+
+def _heads(levels: np.ndarray):
+    """Of each document's set the prefixes under the further orders (cut to 32 bits, as they only filter)."""
+
+    def of(s: np.ndarray) -> bytes:
+        p = prefix_length(len(s)) if len(s) else 0
+        return np.concatenate([np.sort(s[order_keys(s, levels, seed).argsort()[:p]].astype(np.uint32)) for seed in ORDERS[1:]]).tobytes()
+
+    return of
+
+
+def _told(of):
+    """What `of` makes of each document's set, each set once a task."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            ids, k = batch.column(0).to_pylist(), 0
+            for s, at in shingle_sets(batch.column(1)):
+                rows = []
+                for h, a, z in zip(set_digests(s, at)[0].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    if (ids[k], h) not in seen:
+                        seen.add((ids[k], h))
+                        rows.append((ids[k], of(s[a:z])))
+                    k += 1
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], ["node", "told"])
 
     return over
 
@@ -322,83 +369,100 @@ def _meets(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _compare(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-    """Of a task's pairs those whose sets share a prefix token under every further order and are similar then."""
-    tokens = {n: np.frombuffer(t, np.uint64) for n, t in zip(sets["node"], sets["tokens"], strict=True)}
-    heads = {n: np.frombuffer(h, np.uint32).reshape(len(ORDERS) - 1, -1) for n, h in zip(sets["node"], sets["heads"], strict=True)}
-    found = []
-    for a, b in zip(pairs["a"], pairs["b"], strict=True):
-        # Cut to 32 bits a prefix may hold a value twice, which lets a pair through in vain at worst.
-        if all(_meets(x, y) for x, y in zip(heads[a], heads[b], strict=True)):
-            common = _meets(tokens[a], tokens[b])
-            if SHARE[1] * common >= SHARE[0] * (len(tokens[a]) + len(tokens[b]) - common):
-                found.append((a, b))
-    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, levels: np.ndarray, tasks: int) -> DataFrame:
-    """Of the pairs (a, b, meet) those whose sets share a prefix token under every other order too, and are similar.
-
-    Pairs with the same `meet` are compared in one task, to which each of their sets goes once. Which documents are
-    needed is told to the scan by a Bloom filter of 16 bits an id, of 2**26 bits at most; what it lets through in vain
-    meets no pair."""
-    pairs = stable(pairs.groupBy("a", "b").agg(F.pmod(F.xxhash64(F.min("meet")), F.lit(tasks)).alias("task")))
-    places = stable(pairs.select("task", F.explode(F.array("a", "b")).alias("node")).distinct())
-    want = stable(places.select("node").distinct().join(reps, "node").select("rep"))
-    bits = min(26, max(10, (16 * want.count()).bit_length()))
-    merged = want.repartition(8).mapInPandas(_filter_rows(bits), "bitmap binary").collect()
-    bitmap = np.zeros(1 << (bits - 3), np.uint8)
-    for row in merged:
-        bitmap |= np.frombuffer(zlib.decompress(row[0]), np.uint8)
-    sets = docs.mapInArrow(_sets(levels, bitmap.tobytes(), bits), SETS)
-    sent = places.join(sets, "node").select(F.col("task").alias("to"), "node", "tokens", "heads")
-    return pairs.groupBy("task").cogroup(sent.groupBy("to")).applyInPandas(_compare, "a long, b long")
+def _share_heads(x: bytes, y: bytes) -> bool:
+    """Whether sets share a prefix token under every further order. Cut to 32 bits a prefix may hold a value twice, which
+    lets a pair through in vain at worst."""
+    x, y = (np.frombuffer(h, np.uint32).reshape(len(ORDERS) - 1, -1) for h in (x, y))
+    return all(_meets(a, b) for a, b in zip(x, y, strict=True))
+
 
+def _similar(x: bytes, y: bytes) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    common = _meets(x, y)
+    return SHARE[1] * common >= SHARE[0] * (len(x) + len(y) - common)
+
+
+def _compare(test):
+    def over(pairs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        sets: dict[int, list] = {}
+        for node, x in zip(told["node"], told["told"], strict=True):
+            if x not in (of := sets.setdefault(node, [])):
+                of.append(x)
+        ok = [any(test(x, y) for x in sets[a] for y in sets[b]) for a, b in zip(pairs["a"], pairs["b"], strict=True)]
+        return pairs[["a", "b", "task"]][np.array(ok, bool)]
+
+    return over
 
-def _pairs_across(tied: DataFrame, roots: DataFrame, nodes: DataFrame, tasks: int, closest: int | None) -> DataFrame:
+
+def _met(pairs: DataFrame, docs: DataFrame, of, test) -> DataFrame:
+    """The pairs (a, b, task) that pass a test of what `of` tells of their sets. Pairs of the same task are compared
+    together, and each of their sets goes there once."""
+    places = snug(pairs.select("task", F.explode(F.array("a", "b")).alias("node")).distinct())
+    told = _wanted(docs, places.select("node").distinct()).mapInArrow(_told(of), "node long, told binary")
+    sent = places.withColumnRenamed("task", "to").join(told, "node")
+    return snug(pairs.groupBy("task").cogroup(sent.groupBy("to")).applyInPandas(_compare(test), "a long, b long, task long"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """Of the pairs (a, b, meet, w) those whose sets share a prefix token under every other order too, and of these the ones
+    that are similar: whole sets are fetched only then.
+
+    Pairs with the same `meet` are compared in one task, or in several where their sets' sizes `w` ask for it."""
+    pairs = snug(pairs.groupBy("a", "b").agg(F.min("meet").alias("meet"), F.max("w").alias("w")))
+    parts = pairs.groupBy("meet").agg((F.sum("w") / TOKENS + 1).cast("long").alias("parts"), F.sum("w").alias("all"))
+    tasks = 1 + int(parts.agg(F.sum("all")).first()[0] or 0) // TOKENS
+    part = F.xxhash64("meet", F.pmod(F.xxhash64("a", "b"), F.col("parts")))
+    dealt = snug(pairs.join(parts, "meet").select("a", "b", F.pmod(part, F.lit(4 * tasks)).alias("task")))
+    return _met(_met(dealt, docs, _heads(levels), _share_heads), docs, np.ndarray.tobytes, _similar).select("a", "b")
+
+
+def _pairs_across(tied: DataFrame, roots: DataFrame, nodes: DataFrame, closest: int | None) -> DataFrame:
     """Pairs within the stars that have not come together. Each set comes with its root, and the loose ones, which aren't
     in the hub's component, once more as a side of their own. A large star is cut into blocks of sides, each pair of
-    which is for one task."""
+    which is for one task; small stars meet some thousand sets a task."""
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    rooted = tied.join(ra, "a", "left").join(rb, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+    rooted = snug(tied.join(ra, "a", "left").join(rb, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")))
     open_ = rooted.groupBy("a").agg(F.count(F.lit(1)).alias("size"), F.first("ra").alias("ra"), F.max(F.col("ra") != F.col("rb")).alias("open")).where("open")
-    open_ = stable(open_.select("a", "ra", "size", F.ceil((F.col("size") + 1) / SIDE).cast("int").alias("sides")))
+    open_ = snug(open_.select("a", "ra", "size", F.ceil((F.col("size") + 1) / SIDE).cast("int").alias("sides")))
+    tasks = 1 + int(open_.agg(F.sum("size")).first()[0] or 0) // SMALL
     sets = rooted.select("a", F.col("b").alias("node"), F.col("rb").alias("root")).join(open_, "a")
     sets = sets.unionByName(open_.select("a", F.col("a").alias("node"), F.col("ra").alias("root"), "ra", "size", "sides"))
     sets = sets.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
     all_ = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
-    others = sets.select("a", F.col("mine").alias("j"), all_.alias("i"), "node", "root", "size", F.lit(False).alias("left"))
-    loose = sets.where("root <> ra").select("a", F.col("mine").alias("i"), all_.alias("j"), "node", "root", "size", F.lit(True).alias("left"))
-    sides = others.unionByName(loose).join(nodes.select("node", "n", "sig"), "node")
-    # The least number is that of the largest star: pairs that several stars hold meet there, with few copies of a set.
-    large = F.shiftleft(F.lit(1 << 31) - F.least("size", F.lit(1 << 31)), 32)
-    sides = sides.withColumn("meet", large + F.pmod(F.xxhash64("a", "i", "j"), F.lit(1 << 32))).drop("size")
-    return sides.groupBy(F.pmod(F.xxhash64("meet"), F.lit(tasks)).alias("task")).applyInPandas(_across(closest), ACROSS)
+    others = sets.select("a", F.col("mine").alias("j"), all_.alias("i"), "node", "root", "sides", F.lit(False).alias("left"))
+    loose = sets.where("root <> ra").select("a", F.col("mine").alias("i"), all_.alias("j"), "node", "root", "sides", F.lit(True).alias("left"))
+    sides = others.unionByName(loose)
+    # Numbers of small stars' tasks are below those of the blocks.
+    block = F.shiftrightunsigned(F.xxhash64("a", "i", "j"), 1)
+    meet = F.when(F.col("sides") == 1, F.pmod(F.xxhash64("a"), F.lit(tasks))).otherwise(F.greatest(block, F.lit(tasks)))
+    sides = sides.withColumn("meet", meet).drop("sides").join(nodes.select("node", "n", "sig"), "node")
+    return sides.groupBy("meet").applyInPandas(_across(closest), ACROSS)
 
 
 def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, node (the digest of its set; null if that is empty) and component_id,
-    the smallest id reachable by links (its own included).
-
-    Two documents link when their sets of distinct shingles of five words are similar by 0.75 or more. Equal sets are one node
-    of the graph. A pair of nodes is a candidate if it shares a token among the prefixes under the first order, where
-    sizes and what is left of both sets allow it; before the sets themselves are compared, it must share a prefix token
-    under each further order. The orders put tokens that many sets hold last (by a sketch of fixed size) and differ in
-    the rest. First each token ties its sets to one of them, so that a group of copies gives as many pairs as it has
-    members; such a star holds all pairs that share the token. The closest pairs of each set outside its hub's component
-    are checked then, some times, and at last all pairs of a star across components that are left, so that no link
-    between components is missed. Signatures rule out sets that differ too much before a pair is ever
-    written down. Tokens and sets are told apart by 64-bit hashes.
-
-    Null and empty texts have no shingles and are linked with nothing; a text of fewer words is one shingle. Rows that
-    repeat an id are one document; rows without an id get a null component and link nothing; no rows give no rows.
+    """One row per document: doc_id, n_shingles, and component_id, the smallest id reachable by links (its own included).
+
+    Two documents link when their sets of distinct shingles of five words are similar by 0.75 or more. Equal sets (by
+    digests of 128 bits) are one node of the graph, named by their smallest id. A pair of nodes is a candidate if it shares
+    a token among the prefixes under the first order, where sizes and what is left of both sets allow it; prefixes under
+    each further order are intersected next, and only what shares a token there too has its whole sets fetched and
+    compared. The orders put tokens that many sets hold last (by a sketch of fixed size) and differ in the rest. First
+    each token ties its sets to one of them, so that a group of copies gives as many pairs as it has members; such a star
+    holds all pairs that share the token. The closest pairs of each set outside its hub's component are checked then, and
+    at last all pairs of a star across components that are left, so that no link between components is missed. Signatures
+    rule out sets that differ too much before a pair is ever written down. Tokens are told apart by 64-bit hashes.
+
+    Null and empty texts have no shingles and are linked with nothing; a text of fewer words is one shingle. Ties (equal
+    sets) are one node. Rows that repeat an id are one document, which has the links of all its texts; rows without an id
+    get a null component and link nothing; no rows give no rows. A text's length bounds only its own set, which one task
+    holds. Other columns, whatever their names, aren't read.
     """
     docs = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     profile = stable(docs.mapInArrow(_profile, FACTS))
-    facts = profile.where("slice is null").select("doc_id", "node", "n", "sig")
-    named = facts.where("doc_id is not null and node is not null")
+    facts = profile.where("slice is null").select("doc_id", "hi", "lo", "n", "sig")
     # The sketch's levels, 2**SLOT_BITS bytes whatever the input, go to the driver and with the plan.
-    mean = (facts.agg(F.sum("n")).first()[0] or 0) / (1 << SLOT_BITS)
+    sums = facts.agg(F.sum("n")).first()
+    mean = (sums[0] or 0) / (1 << SLOT_BITS)
     parts = profile.where("slice is not null").groupBy("slice").applyInPandas(_levels(mean), "slice int, levels binary").collect()
     levels = np.zeros(1 << SLOT_BITS, np.uint8)
     for i, x in parts:
@@ -409,34 +473,28 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text") -> DataFra
     with_id = docs.where("doc_id is not null")
     packed = with_id.select("text").mapInArrow(_prefixes(levels, buckets), "bucket int, rows binary")
     tied = packed.groupBy("bucket").applyInPandas(_stars, STARS)
-    tied = stable(tied.groupBy("a", "b").agg(F.max("fits").alias("fits")))
-    nodes = stable(named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    reps = nodes.select("node", "rep")
+    named = facts.where("doc_id is not null and hi is not null").groupBy("hi", "lo")
+    nodes = stable(named.agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     # Of each set the pair that its signature brings closest is compared in the first round.
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"))
-    pairs = tied.where("fits").select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    side = lambda x: nodes.select(F.col("hi").alias(f"{x}hi"), F.col("lo").alias(f"{x}lo"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"))
+    tied = tied.groupBy("ahi", "alo", "bhi", "blo").agg(F.max("fits").alias("fits")).join(side("a"), ["ahi", "alo"]).join(side("b"), ["bhi", "blo"])
     gap = F.pandas_udf(_gap, "double")("na", "nb", "siga", "sigb")
-    best = stable(pairs.select("a", "b", gap.alias("gap")).where("gap <= 1").groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")))
-    tasks = max(32, buckets)
-    # A set that many others are paired with meets some hundred of them in a task.
-    many = best.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).alias("parts"))
-    best = best.join(many, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("meet"))
-    links = stable(_verified(best, with_id, reps, levels, tasks))
-    roots = stable(components(links))
+    tied = snug(tied.where("a <> b").select("a", "b", "fits", gap.alias("gap"), (F.col("na") + F.col("nb")).alias("w")))
+    best = tied.where("fits and gap <= 1").groupBy("b").agg(F.min_by(F.struct("a", "w"), F.struct("gap", "a")).alias("best"))
+    links = _verified(best.select("best.a", "b", F.col("best.a").alias("meet"), "best.w"), with_id, levels)
+    roots = snug(components(links))
     # Then, some times, the closest pairs of each set outside its hub's component, and at last all pairs across components
     # that are left.
     for closest in (*CLOSEST, None):
-        across = _pairs_across(tied, roots, nodes, tasks, closest)
+        across = _pairs_across(tied, roots, nodes, closest)
         if closest:
-            near = F.slice(F.array_sort(F.collect_list(F.struct("gap", "a", "b", "meet"))), 1, closest)
-            across = across.groupBy("loose").agg(near.alias("near")).select(F.explode("near").alias("p")).select("p.a", "p.b", "p.meet")
-        more = stable(_verified(across, with_id, reps, levels, tasks))
+            near = F.slice(F.array_sort(F.collect_list(F.struct("gap", "a", "b", "meet", "w"))), 1, closest)
+            across = across.groupBy("loose").agg(near.alias("near")).select(F.explode("near").alias("p")).select("p.a", "p.b", "p.meet", "p.w")
+        more = _verified(across.select("a", "b", "meet", "w"), with_id, levels)
         if not more.isEmpty():
-            links = stable(links.unionByName(more))
-            roots = stable(components(links))
-    placed = facts.drop("sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = placed.where("root is not null and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    placed = placed.join(first, "root", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), "node", component.alias("component_id"))
-
+            roots = snug(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+    # A node is named by its smallest id, and a component by its smallest node.
+    placed = nodes.select("hi", "lo", "node").join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("component"))
+    placed = facts.select("doc_id", "hi", "lo", "n").join(placed, ["hi", "lo"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -125,6 +125,20 @@ def test_jaccard_groups_of_near_copies(spark):
     assert got == brute.jaccard(rows)
 
 
+def test_jaccard_of_repeated_ids_and_more_ids_than_a_filter_holds(spark, monkeypatch):
+    """An id with two texts has the links of both; ids beyond the filter's bound are joined; pairs are dealt to many tasks."""
+    from termloom.llm import jaccard_join
+
+    say = lambda a, z: " ".join(f"w{k}" for k in range(a, z))
+    rows = [(1, say(0, 80)), (5, say(0, 81)), (5, say(200, 280)), (7, say(200, 281)), (9, say(500, 580)), *[(5, say(0, 81))] * 300, *[(None, say(0, 80))] * 300, *[(i, say(900, 990 + i % 3)) for i in range(20, 60)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "FILTERED", 3)
+    monkeypatch.setattr(jaccard_join, "TOKENS", 400)
+    monkeypatch.setattr(jaccard_join, "SIDE", 2)
+    got = jaccard_components(df).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (5, 1), (7, 1), (9, 9), (None, None), *((i, 20) for i in range(20, 60))}
+
+
 def test_bounds_of_similar_sets():
     for n in range(1, 120):
         for m in range(n, 160):
@@ -141,7 +155,7 @@ def test_bounds_of_similar_sets():
         for j in range(len(texts)):
             apart = len(np.setxor1d(s[at[i] : at[i + 1]], s[at[j] : at[j + 1]]))
             assert sigs.differ(np.array([i]), np.array([j]))[0] <= apart
-    assert len(set(set_digests(s, at).tolist())) == len(texts)
+    assert len(set(zip(*map(np.ndarray.tolist, set_digests(s, at)), strict=True))) == len(texts)
 
 
 def test_components(spark):
@@ -151,8 +165,9 @@ def test_components(spark):
     for _ in range(500):
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in links)}
+    for size in (1 << 14, 20):  # in one partition, and in rounds
+        got = components(spark.createDataFrame(links, "a long, b long").repartition(7), size).collect()
+        assert {r["node"]: r["root"] for r in got} == root and len(got) == len(root)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
