@@ -46,11 +46,16 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def snug(df: DataFrame, rows: int = 1 << 14) -> DataFrame:
+def snug(df: DataFrame, most: int | None = None, rows: int = 1 << 14) -> DataFrame:
     """`df` cut off from its lineage, in as many partitions as its counted rows ask for, some `rows` each: a small table
-    then doesn't cost every later exchange a file a task."""
-    df = stable(df)
-    return df.coalesce(max(1, -(-df.count() // rows)))
+    then doesn't cost every later exchange a file a task. `most`: a bound on its rows that is known beforehand."""
+    df = stable(df if most is None else df.coalesce(1 + most // rows))
+    return df.coalesce(1 + df.count() // rows)
+
+
+def slices(df: DataFrame, size: int = 4 << 20) -> int:
+    """Into how many parts of `size` bytes the planner's estimate divides what `df` reads: a task has that much at least."""
+    return 1 + int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // size
 
 
 #: Rows of whole texts that go to a Python worker at a time.
@@ -65,9 +70,10 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def small_or_not(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """`df`, checkpointed, with a broadcast hint only if it has been counted to hold at most `rows` rows."""
-    df = stable(df)
+def small_or_not(df: DataFrame, parts: int | None = None, rows: int = 50_000) -> DataFrame:
+    """`df`, checkpointed (in so many parts at most), with a broadcast hint only if it has been counted to hold at most
+    `rows` rows; callers' rows are of a bounded width."""
+    df = stable(df if parts is None else df.coalesce(parts))
     return F.broadcast(df) if df.count() <= rows else df
 
 

@@ -36,11 +36,11 @@ def components(links: DataFrame, rows: int = 1 << 14) -> DataFrame:
     shared checkpoint folder. Links stay in the table throughout. A node linked with itself alone is its own root; no
     links give no rows.
     """
-    known = snug(links.where("a is not null and b is not null").select(F.col("a").cast("long"), F.col("b").cast("long")), rows)
+    known = snug(links.where("a is not null and b is not null").select(F.col("a").cast("long"), F.col("b").cast("long")), None, rows)
     forest = known.mapInPandas(_forest, "a long, b long")
     if known.rdd.getNumPartitions() == 1:
         return forest.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    edges, mark = snug(forest.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), rows), None
+    edges, mark = snug(forest.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), None, rows), None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(now):
@@ -51,4 +51,4 @@ def components(links: DataFrame, rows: int = 1 << 14) -> DataFrame:
         large = both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u").where("v >= u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = snug(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), rows)
+        edges = snug(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), None, rows)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import NOT_BLANK, chunks, flat, mix, small_batches, snug, stable, word_hashes, words
+from termloom.llm.common import NOT_BLANK, chunks, flat, mix, slices, small_batches, snug, stable, word_hashes, words
 from termloom.llm.graph import components
 
 #: Words in a shingle, and the similarity of a link as a fraction.
@@ -319,10 +319,10 @@ def _filtered(bitmap: bytes, bits: int):
     return over
 
 
-def _wanted(docs: DataFrame, want: DataFrame) -> DataFrame:
+def _wanted(docs: DataFrame, want: DataFrame, most: int) -> DataFrame:
     """The documents whose ids are in `want` (column node), and perhaps some others. A Bloom filter of 16 bits an id, of
     8 MB at most, picks them where they lie; more ids than it can hold are joined."""
-    want = snug(want)
+    want = snug(want, most)
     count = want.count()
     if count > FILTERED:
         return docs.join(want, F.col("doc_id") == F.col("node"), "left_semi")
@@ -394,37 +394,41 @@ def _compare(test):
     return over
 
 
-def _met(pairs: DataFrame, docs: DataFrame, of, test) -> DataFrame:
+def _met(pairs: DataFrame, docs: DataFrame, groups: int, of, test) -> DataFrame:
     """The pairs (a, b, task) that pass a test of what `of` tells of their sets. Pairs of the same task are compared
-    together, and each of their sets goes there once."""
-    places = snug(pairs.select("task", F.explode(F.array("a", "b")).alias("node")).distinct())
-    told = _wanted(docs, places.select("node").distinct()).mapInArrow(_told(of), "node long, told binary")
+    together, and each of their sets goes there once; there are `groups` of them at most."""
+    most = 2 * pairs.count()
+    places = snug(pairs.select("task", F.explode(F.array("a", "b")).alias("node")).distinct(), most)
+    told = _wanted(docs, places.select("node").distinct(), most).mapInArrow(_told(of), "node long, told binary")
     sent = places.withColumnRenamed("task", "to").join(told, "node")
-    return snug(pairs.groupBy("task").cogroup(sent.groupBy("to")).applyInPandas(_compare(test), "a long, b long, task long"))
+    return snug(pairs.groupBy("task").cogroup(sent.groupBy("to")).applyInPandas(_compare(test), "a long, b long, task long").coalesce(groups))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, groups: int, levels: np.ndarray) -> DataFrame:
     """Of the pairs (a, b, meet, w) those whose sets share a prefix token under every other order too, and of these the ones
-    that are similar: whole sets are fetched only then.
+    that are similar: whole sets are fetched only then. The pairs come in `groups` groups at most.
 
     Pairs with the same `meet` are compared in one task, or in several where their sets' sizes `w` ask for it."""
-    pairs = snug(pairs.groupBy("a", "b").agg(F.min("meet").alias("meet"), F.max("w").alias("w")))
+    pairs = snug(pairs.groupBy("a", "b").agg(F.min("meet").alias("meet"), F.max("w").alias("w")).coalesce(groups))
     parts = pairs.groupBy("meet").agg((F.sum("w") / TOKENS + 1).cast("long").alias("parts"), F.sum("w").alias("all"))
-    tasks = 1 + int(parts.agg(F.sum("all")).first()[0] or 0) // TOKENS
+    tasks = 8 * (1 + int(parts.agg(F.sum("all")).first()[0] or 0) // TOKENS)
     part = F.xxhash64("meet", F.pmod(F.xxhash64("a", "b"), F.col("parts")))
-    dealt = snug(pairs.join(parts, "meet").select("a", "b", F.pmod(part, F.lit(4 * tasks)).alias("task")))
-    return _met(_met(dealt, docs, _heads(levels), _share_heads), docs, np.ndarray.tobytes, _similar).select("a", "b")
+    dealt = snug(pairs.join(parts, "meet").select("a", "b", F.pmod(part, F.lit(tasks)).alias("task")), pairs.count())
+    heads = _met(dealt, docs, tasks, _heads(levels), _share_heads)
+    return _met(heads, docs, tasks, np.ndarray.tobytes, _similar).select("a", "b")
 
 
-def _pairs_across(tied: DataFrame, roots: DataFrame, nodes: DataFrame, closest: int | None) -> DataFrame:
+def _pairs_across(tied: DataFrame, roots: DataFrame, nodes: DataFrame, closest: int | None) -> tuple[DataFrame, int]:
     """Pairs within the stars that have not come together. Each set comes with its root, and the loose ones, which aren't
     in the hub's component, once more as a side of their own. A large star is cut into blocks of sides, each pair of
-    which is for one task; small stars meet some thousand sets a task."""
+    which is for one task; small stars meet some thousand sets a task. Also the number of such tasks."""
+    many = tied.count()
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    rooted = snug(tied.join(ra, "a", "left").join(rb, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")))
+    rooted = snug(tied.join(ra, "a", "left").join(rb, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")), many)
     open_ = rooted.groupBy("a").agg(F.count(F.lit(1)).alias("size"), F.first("ra").alias("ra"), F.max(F.col("ra") != F.col("rb")).alias("open")).where("open")
-    open_ = snug(open_.select("a", "ra", "size", F.ceil((F.col("size") + 1) / SIDE).cast("int").alias("sides")))
-    tasks = 1 + int(open_.agg(F.sum("size")).first()[0] or 0) // SMALL
+    open_ = snug(open_.select("a", "ra", "size", F.ceil((F.col("size") + 1) / SIDE).cast("int").alias("sides")), many)
+    size, blocks = open_.agg(F.sum("size"), F.sum(F.when(F.col("sides") > 1, F.col("sides") * F.col("sides")))).first()
+    tasks = 1 + int(size or 0) // SMALL
     sets = rooted.select("a", F.col("b").alias("node"), F.col("rb").alias("root")).join(open_, "a")
     sets = sets.unionByName(open_.select("a", F.col("a").alias("node"), F.col("ra").alias("root"), "ra", "size", "sides"))
     sets = sets.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
@@ -436,7 +440,7 @@ def _pairs_across(tied: DataFrame, roots: DataFrame, nodes: DataFrame, closest:
     block = F.shiftrightunsigned(F.xxhash64("a", "i", "j"), 1)
     meet = F.when(F.col("sides") == 1, F.pmod(F.xxhash64("a"), F.lit(tasks))).otherwise(F.greatest(block, F.lit(tasks)))
     sides = sides.withColumn("meet", meet).drop("sides").join(nodes.select("node", "n", "sig"), "node")
-    return sides.groupBy("meet").applyInPandas(_across(closest), ACROSS)
+    return sides.groupBy("meet").applyInPandas(_across(closest), ACROSS), tasks + int(blocks or 0)
 
 
 def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
@@ -474,23 +478,23 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text") -> DataFra
     packed = with_id.select("text").mapInArrow(_prefixes(levels, buckets), "bucket int, rows binary")
     tied = packed.groupBy("bucket").applyInPandas(_stars, STARS)
     named = facts.where("doc_id is not null and hi is not null").groupBy("hi", "lo")
-    nodes = stable(named.agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    nodes = stable(named.agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")).coalesce(slices(docs)))
     # Of each set the pair that its signature brings closest is compared in the first round.
     side = lambda x: nodes.select(F.col("hi").alias(f"{x}hi"), F.col("lo").alias(f"{x}lo"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"))
     tied = tied.groupBy("ahi", "alo", "bhi", "blo").agg(F.max("fits").alias("fits")).join(side("a"), ["ahi", "alo"]).join(side("b"), ["bhi", "blo"])
     gap = F.pandas_udf(_gap, "double")("na", "nb", "siga", "sigb")
-    tied = snug(tied.where("a <> b").select("a", "b", "fits", gap.alias("gap"), (F.col("na") + F.col("nb")).alias("w")))
+    tied = snug(tied.where("a <> b").select("a", "b", "fits", gap.alias("gap"), (F.col("na") + F.col("nb")).alias("w")).coalesce(buckets))
     best = tied.where("fits and gap <= 1").groupBy("b").agg(F.min_by(F.struct("a", "w"), F.struct("gap", "a")).alias("best"))
-    links = _verified(best.select("best.a", "b", F.col("best.a").alias("meet"), "best.w"), with_id, levels)
+    links = _verified(best.select("best.a", "b", F.col("best.a").alias("meet"), "best.w"), with_id, buckets, levels)
     roots = snug(components(links))
     # Then, some times, the closest pairs of each set outside its hub's component, and at last all pairs across components
     # that are left.
     for closest in (*CLOSEST, None):
-        across = _pairs_across(tied, roots, nodes, closest)
+        across, groups = _pairs_across(tied, roots, nodes, closest)
         if closest:
             near = F.slice(F.array_sort(F.collect_list(F.struct("gap", "a", "b", "meet", "w"))), 1, closest)
             across = across.groupBy("loose").agg(near.alias("near")).select(F.explode("near").alias("p")).select("p.a", "p.b", "p.meet", "p.w")
-        more = _verified(across.select("a", "b", "meet", "w"), with_id, levels)
+        more = _verified(across.select("a", "b", "meet", "w"), with_id, groups, levels)
         if not more.isEmpty():
             roots = snug(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
     # A node is named by its smallest id, and a component by its smallest node.

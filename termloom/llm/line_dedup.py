@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import BLANKS, ascii_lower, free_name, small_or_not
+from termloom.llm.common import BLANKS, ascii_lower, free_name, slices, small_or_not
 
 
 def line_keys(text: Column) -> Column:
@@ -29,7 +29,7 @@ def line_dedup(docs: DataFrame, doc_id="doc_id", text="text", min_chars: int = 4
     digest = lambda x: F.unhex(F.md5(x))
     held = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias(who), F.explode(F.transform(F.array_distinct(long), digest)).alias(keys))
     common = held.groupBy(keys).agg(F.count_distinct(who).alias("n"), F.max(who).alias("last")).where(F.col("n") >= min_docs)
-    lost = held.join(small_or_not(common), keys).where(F.col(who) != F.col("last")).groupBy(who).agg(F.collect_set(keys).alias(drop))
+    lost = held.join(small_or_not(common, slices(docs)), keys).where(F.col(who) != F.col("last")).groupBy(who).agg(F.collect_set(keys).alias(drop))
     df = docs.join(lost, F.col(doc_id) == F.col(who), "left").drop(who)
     df = df.withColumns({lines: F.split(whole, "\n"), keys: F.when(F.col(drop).isNotNull(), line_keys(whole))})
     n_lines, n_dropped = free_name(docs, "ld_n_lines"), free_name(docs, "ld_n_dropped")

@@ -66,7 +66,7 @@ def mix_sources(
     n = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     targets = source_targets(docs.select(F.col(source), n.alias(size)), source, size, weights, most)
     names = {c: free_name(docs, f"mix_{c}") for c in ("source_size", "target", "rate", "copies")}
-    targets = small_or_not(targets.select(F.col("source").alias(key), *(F.col(c).alias(names[c]) for c in ("source_size", "target", "rate"))))
+    targets = small_or_not(targets.select(F.col("source").alias(key), *(F.col(c).alias(names[c]) for c in ("source_size", "target", "rate"))), 1)
     out = docs.withColumn(size, n).join(targets, F.col(source).eqNullSafe(F.col(key)), "left").drop(key)
     rate = F.col(names["rate"])
     extra = (draw(doc_id, text, seed) < rate - F.floor(rate)).cast("long")

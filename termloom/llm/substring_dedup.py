@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import BLANKS, ascii_lower, free_name, small_batches, small_or_not
+from termloom.llm.common import BLANKS, ascii_lower, free_name, slices, small_batches, small_or_not
 
 #: A unit ends at a line's end, and where a line goes on after one of these and a blank.
 BREAK = r"([.!?][\x20\x09\x0B-\x0D])"
@@ -91,7 +91,7 @@ def substring_dedup(docs: DataFrame, doc_id="doc_id", text="text", min_words: in
     held = held.where(F.col("key").like("% " * (UNIT_WORDS - 1) + "%")).select(who, "unit", F.unhex(F.md5("key")).alias("h"))
     first = held.groupBy("h").agg(F.min(F.struct(F.col(who).alias("id"), "unit")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     lost = (
-        held.join(small_or_not(first.drop("n")), "h")
+        held.join(small_or_not(first.drop("n"), slices(docs)), "h")
         .where((F.col(who) != F.col("first.id")) | (F.col("unit") != F.col("first.unit")))
         .groupBy(who)
         .agg(F.collect_list(F.struct("unit", F.col("first.id").alias("keeper"), F.col("first.unit").alias("keeper_unit"))).alias(gone))
