@@ -1,4 +1,9 @@
-"""A training corpus from raw documents, in five stages. Each stage takes what the one before kept."""
+"""A training corpus from raw documents, in five stages. Each stage takes what the one before kept.
+
+What holds for every stage: a null text counts as empty; rows without an id are judged by their own text, displace nothing
+and, where a verdict hangs on ids, stay; rows that repeat an id share its fate; ties can't be, as ids decide them; no rows
+give no rows; texts of any length are taken whole, one row at a time; other columns pass through, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.common import shared_folder, small_or_not, table
+from termloom.llm.common import shared_folder, slices, small_or_not, table
 from termloom.llm.decontamination import decontaminate
 from termloom.llm.jaccard_join import jaccard_components
 from termloom.llm.line_dedup import line_dedup
@@ -34,13 +39,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many of them share."""
     out = line_dedup(docs)
-    return _recounted(out, F.col("text")).select(docs.columns)
+    return _recounted(out, F.col("text")).select(docs.columns).coalesce(slices(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of near duplicates, and what has no id."""
     others = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(small_or_not(others, 500_000), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small_or_not(others, slices(docs), 500_000), "doc_id", "left_anti").select(docs.columns).coalesce(slices(docs))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
