@@ -55,7 +55,7 @@ def snug(df: DataFrame, most: int | None = None, rows: int = 1 << 14) -> DataFra
 
 def slices(df: DataFrame, size: int = 4 << 20) -> int:
     """Into how many parts of `size` bytes the planner's estimate divides what `df` reads: a task has that much at least."""
-    return 1 + int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // size
+    return min(1 << 24, 1 + int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // size)
 
 
 #: Rows of whole texts that go to a Python worker at a time.
