@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -138,10 +136,6 @@ class Automaton:
         return np.bincount(text, weights=total, minlength=len(n))
 
 
-
-
-
-
 COUNTS = "block int, bucket int, keys binary, counts binary, more_keys binary, more_counts binary"
 REPLY = "block int, bucket int, totals binary, more_totals binary, n long, v long"
 
@@ -151,7 +145,7 @@ def _count(order: int, n: int, block_name: str):
         block = Block(frame["text"].tolist(), frame["trains"].to_numpy(), order)
         cut = [block.buckets(n, k) for k in range(order)]
         rows = []
-        for i in range(n):
+        for i in np.flatnonzero(np.sum([np.diff(a) for _, a in cut], axis=0)).tolist():
             take = [o[a[i] : a[i + 1]] for o, a in cut]
             more_k = np.concatenate([block.keys[k][t] for k, t in enumerate(take)][1:]) if order > 1 else np.zeros(0, np.uint64)
             more_c = np.concatenate([block.counts[k][t] for k, t in enumerate(take)][1:]) if order > 1 else np.zeros(0, np.uint32)
@@ -172,9 +166,13 @@ def _sums(keys: pd.Series, counts: pd.Series) -> tuple[list[bytes], np.ndarray]:
 
 
 def _sum(frame: pd.DataFrame) -> pd.DataFrame:
+    """The replies to the blocks that asked, and a row for block -1: how many training tokens the bucket has, and how many
+    different ones."""
     told, total = _sums(frame["keys"], frame["counts"])
     more, _ = _sums(frame["more_keys"], frame["more_counts"])
-    return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "totals": told, "more_totals": more, "n": int(total.sum()), "v": int((total > 0).sum())})
+    out = pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "totals": told, "more_totals": more, "n": 0, "v": 0})
+    size = pd.DataFrame({"block": [-1], "bucket": frame["bucket"].iloc[:1], "totals": [b""], "more_totals": [b""], "n": [int(total.sum())], "v": [int((total > 0).sum())]})
+    return pd.concat([out, size])
 
 
 def _score(order: int, n: int, mu: float, out: tuple, keep: list[str]):
@@ -189,7 +187,7 @@ def _score(order: int, n: int, mu: float, out: tuple, keep: list[str]):
             for k in range(1, order):
                 totals[k][take[k]] += rest[at : at + len(take[k])]
                 at += len(take[k])
-        big_n, v = int(replies["n"].sum()), int(replies["v"].sum())
+        big_n, v = map(int, replies["whole"].iloc[0])
         c, at = totals[0][block.ids[0]], block.at
         base = np.log10((c + 1.0) / (big_n + 1.0 * (v + 1)))
         automaton = Automaton(block, totals, big_n, v, mu)
@@ -205,24 +203,31 @@ def _score(order: int, n: int, mu: float, out: tuple, keep: list[str]):
 def lm_score(docs: DataFrame, doc_id="doc_id", text="text", order: int = 2, mu: float = 200.0, fold: int = 2, folds: int = 7, block: int = BLOCK) -> DataFrame:
     """doc_id with lm_held_out, lm_n_tokens, lm_n_known, lm_train_tokens, lm_base_score and lm_score.
 
-    A text trains the model unless crc32(id as text) % folds is `fold`. Texts are dealt to blocks by id, as many as
+    A text trains the model unless crc32(id as text) % folds is `fold`. Texts are dealt to blocks, as many as
     their bytes ask for. Each block sends the distinct n-grams of its texts, with its training counts, to buckets by
-    hash; a bucket adds up and answers each block for what it sent; the block builds its automaton of them and reads
-    its texts. So no task holds more than a block or a bucket, and counts cover all texts. Tokens are told apart by
-    64-bit hashes. Null text is empty and has its end as the only token; a null id counts as the empty string in the
-    draw; rows that repeat count as often; no rows give no rows.
+    hash, one row for each bucket that it has any for; a bucket adds up and answers each block for what it sent; the
+    block builds its automaton of them and reads its texts. So no task holds more than a block or a bucket, and counts
+    cover all texts. Tokens are told apart by 64-bit hashes.
+
+    Null text is empty and has its end as the only token; a null id counts as the empty string in the draw; rows that
+    repeat count as often; equal n-grams are one, so there are no ties to break; no rows give no rows; a text longer than
+    a block makes its block longer. Other columns, whatever their names, aren't read. Blocks are dealt by id and text, so
+    rows without an id are spread; only rows that repeat both are together.
     """
     size = docs.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()
     n = max(1, -(-int(size[0] or 0) // block))
     name = "block"
     dealt = small_batches(docs).select(
         F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-        F.pmod(F.xxhash64(F.col(doc_id)), F.lit(n)).cast("int").alias(name),
+        F.pmod(F.xxhash64(doc_id, text), F.lit(n)).cast("int").alias(name),
     )
     trains = F.pmod(F.crc32(F.coalesce("doc_id", F.lit("")).cast("binary")), F.lit(folds)) != fold
     dealt = dealt.withColumn("trains", trains)
     asked = dealt.groupBy(name).applyInPandas(_count(order, n, name), COUNTS)
     replies = asked.groupBy("bucket").applyInPandas(_sum, REPLY)
+    # The whole corpus's two numbers come as a scalar subquery over the same exchange.
+    whole = replies.agg(F.array(F.sum("n"), F.sum("v"))).scalar()
+    replies = replies.where("block >= 0").drop("n", "v").withColumn("whole", whole)
     out = ("lm_held_out", "lm_n_tokens", "lm_n_known", "lm_train_tokens", "lm_base_score", "lm_score")
     kind = "doc_id string, lm_held_out boolean, lm_n_tokens long, lm_n_known long, lm_train_tokens long, lm_base_score double, lm_score double"
     scored = dealt.groupBy(name).cogroup(replies.groupBy("block")).applyInPandas(_score(order, n, mu, out, ["doc_id"]), kind)

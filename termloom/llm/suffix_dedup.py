@@ -63,12 +63,28 @@ class Shard:
         self.longer = np.where(inside, place[order - 1], -1)
 
 
+def interleave(lists: list[np.ndarray]) -> np.ndarray:
+    """The merge of sorted lists laid end to end: their places in order, of equal entries the earlier list's first. Two
+    neighbouring lists at a time tell each other where their entries fall, so nothing is sorted."""
+    at = np.cumsum([0, *map(len, lists)])
+    runs = [(x, np.arange(a, a + len(x), dtype=np.int32)) for x, a in zip(lists, at, strict=False)]
+    while len(runs) > 1:
+        merged = []
+        for (x, i), (y, j) in zip(runs[::2], runs[1::2], strict=False):
+            key, rows = np.empty(len(x) + len(y), x.dtype), np.empty(len(x) + len(y), np.int32)
+            for k, r, to in ((x, i, np.searchsorted(y, x, "left") + np.arange(len(x))), (y, j, np.searchsorted(x, y, "right") + np.arange(len(y)))):
+                key[to], rows[to] = k, r
+            merged.append((key, rows))
+        runs = merged + runs[len(runs) & ~1 :]
+    return runs[0][1] if runs else np.zeros(0, np.int32)
+
+
 def merge(shards: list[Shard], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Interleaves the shards' suffixes: their rows in the order of the first `depth` bytes, and for each the number of
     bytes that it shares with the one before (at least `depth` where they share so many).
 
-    The interleave starts from the shards' lists of leading eight-byte keys and is refined a byte at a time, as in
-    Holt and McMillan (2014): the order of suffixes after d bytes, read through the transforms, gives the order of the
+    The interleave starts where the shards' sorted lists of leading eight bytes fall into each other and is refined a
+    byte at a time, as in Holt and McMillan (2014): the order of suffixes after d bytes, read through the transforms, gives the order of the
     suffixes one byte longer after d+1. A group of suffixes with the same d bytes needs work only when the group that
     its members' tails are in was split in the round before, so each round passes over such groups alone; the round in
     which two neighbours part is the length of their common prefix.
@@ -78,7 +94,7 @@ def merge(shards: list[Shard], depth: int = LENGTH) -> tuple[np.ndarray, np.ndar
     bwt = np.concatenate([s.bwt for s in shards])
     longer = np.concatenate([np.where(s.longer >= 0, s.longer + np.int32(b), -1) for s, b in zip(shards, base, strict=False)])
     n = len(key)
-    rows = np.argsort(key, kind="stable").astype(np.int32)
+    rows = interleave([s.key for s in shards])
     place = np.empty(n, np.int32)
     place[rows] = np.arange(n, dtype=np.int32)
     key = key[rows]
@@ -229,7 +245,7 @@ def _ask(buckets: int):
     def over(frame: pd.DataFrame) -> pd.DataFrame:
         key, at, several = _keys(frame["doc_id"].to_numpy(np.int64), _pieces(frame), buckets)
         block = int(frame["block"].iloc[0])
-        rows = [(block, i, pack(key[at[i] : at[i + 1]]), np.packbits(several[at[i] : at[i + 1]]).tobytes()) for i in range(buckets)]
+        rows = [(block, i, pack(key[at[i] : at[i + 1]]), np.packbits(several[at[i] : at[i + 1]]).tobytes()) for i in np.flatnonzero(np.diff(at)).tolist()]
         return pd.DataFrame(rows, columns=["block", "bucket", "keys", "several"])
 
     return over
@@ -257,6 +273,30 @@ def _gather(b: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return b[np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(total)]
 
 
+def equal_bytes(b: np.ndarray, x: np.ndarray, y: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the `length` bytes of `b` that begin at x and at y are the same, some megabytes at a time."""
+    out, ends, i = np.ones(len(x), bool), np.cumsum(length), 0
+    while i < len(x):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PIECE, "right")))
+        n = length[i:j]
+        part = _gather(b, x[i:j], n) != _gather(b, y[i:j], n)
+        out[i:j] = ~np.logical_or.reduceat(part, np.cumsum(n) - n)
+        i = j
+    return out
+
+
+def firsts(b: np.ndarray, name: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For strings in the order of their names (hashes) the first one that each equals. Names only say where to look: a
+    string that differs from the first of its name is a first one itself."""
+    at = np.arange(len(name))
+    base = np.maximum.accumulate(np.where(np.append(True, name[1:] != name[:-1])[: len(name)], at, 0)) if len(name) else at
+    other = np.flatnonzero(base != at)
+    same = length[other] == length[base[other]]
+    same[same] = equal_bytes(b, begin[other[same]], begin[base[other[same]]], length[other[same]])
+    base[other[~same]] = other[~same]
+    return base
+
+
 def _send(buckets: int):
     def over(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
@@ -274,9 +314,7 @@ def _send(buckets: int):
             doc, begin, end, start, k, name = ids[doc[on]], begin[on], end[on], start[on], k[on], name[on]
             o = np.lexsort((doc, name))
             doc, begin, end, start, k, name = doc[o], begin[o], end[o], start[o], k[o], name[o]
-            first = np.append(True, name[1:] != name[:-1])[: len(name)]
-            lowest = doc[np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0))] if len(doc) else doc
-            later = doc > lowest  # a smaller document of this piece has the same stretch
+            later = doc > doc[firsts(b, name, begin, end - begin)]  # a smaller document of this piece has the same stretch
             done.append(_hits(doc[later], start[later], end[later] - begin[later] + start[later]))
             keep = ~later
             row = np.zeros(int(keep.sum()), [("doc", "i8"), ("start", "u4"), ("len", "u4"), ("bucket", "u4")])
@@ -317,12 +355,11 @@ def _find(frame: pd.DataFrame) -> pd.DataFrame:
         name = mix((sums[at + length] - sums[at]) * powers(K_INV, len(data) + 1)[at] + fact["len"])
         o = np.lexsort((fact["doc"], name))
         fact, block, at, length, name = fact[o], block[o], at[o], length[o], name[o]
-        first = np.append(True, name[1:] != name[:-1])
-        lowest = fact["doc"][np.maximum.accumulate(np.where(first, np.arange(len(fact)), 0))]
-        later = fact["doc"] > lowest
+        base = firsts(data, name, at, length)
+        later = fact["doc"] > fact["doc"][base]
         # A smaller document has the whole string: every start in it goes.
         doc, begin, end, who = [fact["doc"][later]], [fact["start"][later].astype(np.int64)], [fact["start"][later] + length[later]], [block[later]]
-        own = np.flatnonzero(first)
+        own = np.flatnonzero(base == np.arange(len(base)))
         least = least_owner(_gather(data, at[own], length[own]), length[own], fact["doc"][own])
         mine = np.repeat(fact["doc"][own], length[own])
         gone = least < mine
@@ -335,7 +372,7 @@ def _find(frame: pd.DataFrame) -> pd.DataFrame:
         s = np.searchsorted(edge, a, "right") - 1
         # Equal strings of the same document share what was found for the first.
         copies = np.flatnonzero(~later)
-        of = np.cumsum(first)[copies] - 1
+        of = np.searchsorted(own, base[copies])
         n = np.bincount(s, minlength=len(own))
         run0 = np.cumsum(n) - n
         many = n[of]
@@ -381,20 +418,22 @@ def suffix_dedup(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
 
     A byte is removed if a string of 50 bytes that covers it also begins in a document with a smaller id.
 
-    Texts are dealt to blocks by id. Each block cuts its texts' starts into stretches by the short string of least hash
-    inside their 50 bytes, and asks the buckets of those hashes which ones several documents have; only such stretches
-    can hold a repeat and go on, each distinct one once. A bucket lays its strings out as shards, builds each shard's
-    transform, merges them by refining their interleave, and takes from the common prefixes the groups of equal 50
-    bytes and each group's smallest document. What begins a repeat goes back to the block, which cuts its texts.
-    Stretches are told apart by 64-bit hashes before that; repeats themselves are found by their bytes.
-
-    Null text is empty. Rows without an id lose nothing and take nothing away; rows that repeat an id are one document
-    (what goes from one goes from all); no rows give no rows; other columns aren't read.
+    Texts are dealt to blocks by id and text. Each block cuts its texts' starts into stretches by the short string of
+    least hash inside their 50 bytes, and asks the buckets of those hashes which ones several documents have; only such
+    stretches can hold a repeat and go on, each distinct one once. A bucket lays its strings out as shards, builds each
+    shard's transform, merges them by refining their interleave, and takes from the common prefixes the groups of equal
+    50 bytes and each group's smallest document. What begins a repeat goes back to the block, which cuts its texts.
+    Hashes only say where to look: stretches are one if their bytes are. Blocks and buckets exchange rows for what they
+    hold, never for what they don't, so their number is bounded by the stretches.
+
+    Null text is empty. Ties can't be: only smaller ids take away. Rows without an id lose nothing and take nothing away;
+    rows that repeat an id are one document, none of which takes from another; no rows give no rows; texts of any length
+    are cut into pieces that overlap by 49 bytes; other columns, whatever their names, aren't read.
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n, buckets = max(1, -(-int(size) // BLOCK)), max(1, -(-int(size) // PER_BUCKET))
     who = F.col(doc_id).cast("long")
-    dealt = small_batches(docs).select(who.alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.pmod(F.xxhash64(who), F.lit(n)).cast("int").alias("block"))
+    dealt = small_batches(docs).select(who.alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.pmod(F.xxhash64(who, text), F.lit(n)).cast("int").alias("block"))
     known = dealt.where("doc_id is not null")
     told = known.groupBy("block").applyInPandas(_ask(buckets), ASK).groupBy("bucket").applyInPandas(_tell, TOLD)
     sent = known.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_send(buckets), SENT)
