@@ -23,11 +23,15 @@ UNSEEN = set("script style noscript template title head svg math iframe object c
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split()
 )
+#: What may stand in a head, which need not be closed: anything else ends it (fixed values).
+IN_HEAD = set("head title base link meta style script noscript template".split())
 #: What a new element closes of its own kind (fixed values).
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=/?[a-zA-Z!?])[^>]*\Z|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_RIGHTS = re.compile(r"©|\(c\)|\bcopyright\b|\ball rights reserved\b", re.I)
 _NAME = re.compile(r"[a-z]+")
 _WORDS = re.compile(r"\S+")
 
@@ -36,7 +40,7 @@ def leaf_blocks(html: str) -> list[tuple[str, frozenset, int, int]]:
     """The page's blocks in order: text (white space squeezed, character references decoded), the words that describe
     its ancestors (tags, and words of class, id and role), characters inside links, and the depth."""
     out: list = []
-    stack: list[tuple[str, frozenset]] = []
+    stack: list[tuple[str, frozenset, bool]] = []  # tag, words, whether it isn't shown
     seen: frozenset = frozenset()
     parts: list[str] = []
     link = in_link = hidden = 0
@@ -53,6 +57,9 @@ def leaf_blocks(html: str) -> list[tuple[str, frozenset, int, int]]:
         pos = m.end()
         if m[2] is None:
             if (s := m[0])[0] != "<" or s == "<":
+                if stack and stack[-1][0] == "head" and s.strip():  # text ends a head
+                    stack.pop()
+                    hidden = any(x for *_, x in stack)
                 if not hidden:
                     s = unescape(s)
                     parts.append(s)
@@ -60,24 +67,27 @@ def leaf_blocks(html: str) -> list[tuple[str, frozenset, int, int]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "br" or tag == "p" and not any(t == "p" for t, _ in stack):
+            if tag == "br" or tag == "p" and not any(t == "p" for t, *_ in stack):
                 flush()
                 continue
             at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if at is None:
                 continue
             if tag in INLINE:  # closes no block that is open inside it
-                if all(t in INLINE for t, _ in stack[at:]):
+                if all(t in INLINE for t, *_ in stack[at:]):
                     del stack[at:]
                 else:
-                    stack[at] = ("", stack[at][1])
                     del stack[at]
             else:
                 flush()
                 del stack[at:]
         else:
+            if tag not in IN_HEAD and any(t == "head" for t, *_ in stack):
+                del stack[next(k for k, x in enumerate(stack) if x[0] == "head") :]
             if tag not in INLINE and tag not in RAW:
                 flush()
+            if m[3].endswith("/") and (tag in ("svg", "math") or any(t in ("svg", "math") for t, *_ in stack)):
+                continue  # closed at once, as in XML
             if tag in VOID:
                 if tag == "br":
                     parts.append(" ")
@@ -89,17 +99,21 @@ def leaf_blocks(html: str) -> list[tuple[str, frozenset, int, int]]:
                         break
                     if stack[k][0] not in INLINE and stack[k][0] not in ("li", "p"):
                         break
-            words = {f"<{tag}>"}
+            words, unseen = {f"<{tag}>"}, tag in UNSEEN
             for a in _ATTRIBUTE.finditer(m[3]) if m[3] else ():
-                words.update(f".{w}" for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower()))
-            stack.append((tag, frozenset(words)))
+                name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+                if name in ("class", "id", "role"):
+                    words.update(f".{w}" for w in _NAME.findall(value))
+                elif name == "hidden" or name == "style" and _NOT_SHOWN.search(value):
+                    unseen = True
+            stack.append((tag, frozenset(words), unseen))
             if tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, pos)
                 pos = close.end() if close else end
                 stack.pop()
-        seen = frozenset().union(*(w for _, w in stack))
-        in_link = sum(t == "a" for t, _ in stack)
-        hidden = any(t in UNSEEN for t, _ in stack)
+        seen = frozenset().union(*(w for _, w, _ in stack))
+        in_link = sum(t == "a" for t, *_ in stack)
+        hidden = any(x for *_, x in stack)
     flush()
     return out
 
@@ -112,7 +126,7 @@ def features(blocks: list) -> list[list[str]]:
         stops = sum(text.count(c) for c in ".!?,;:")
         f = ["bias", f"words{min(6, words.bit_length())}", f"link{min(3, 4 * link // max(1, len(text)))}", f"stops{min(3, stops)}", f"depth{min(6, depth)}"]
         f.extend(ancestors)
-        if "©" in text or "(c)" in text.lower():
+        if _RIGHTS.search(text):
             f.append("copyright")
         f.append("first" if i == 0 else "last" if i == n - 1 else "inside")
         rows.append(f)
@@ -246,14 +260,17 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
                 put(rng.choice(["<p>", "<h3>", "<div>"]), said(2, 40), "", 0)
             html.append(c)
         elif kind == "comments":
-            o, c = rng.choice([('<section class="comments">', "</section>"), ('<div id="comments">', "</div>"), ('<div class="comment-list">', "</div>"), ('<section id="responses" class="comments">', "</section>"), ('<div class="discussion">', "</div>")])
+            o, c = rng.choice([('<section class="comments">', "</section>"), ('<div id="comments">', "</div>"), ('<div class="comment-list">', "</div>"), ('<section id="responses" class="comments">', "</section>"), ('<div class="discussion">', "</div>"), ('<div class="reactions">', "</div>"), ('<div id="replies">', "</div>"), ('<ol class="thread replies">', "</ol>"), ('<div class="reader-feedback">', "</div>")])
             html.append(o)
             for _ in range(rng.randint(1, 5)):
                 put(rng.choice(['<div class="comment"><p>', '<li class="comment">', '<article class="comment"><p>', "<p>"]), said(3, 60), rng.choice(["", "</p>"]), 0)
             html.append(c)
         elif kind == "footer":
             o, c = rng.choice([("<footer>", "</footer>"), ('<div class="footer">', "</div>"), ('<div id="footer">', "</div>"), ('<p class="copyright">', "</p>")])
-            put(o, rng.choice(["&copy; ", "", "(c) "]) + said(2, 30), c, 0)
+            put(o, rng.choice(["&copy; ", "", "(c) ", "Copyright "]) + said(2, 30), c, 0)
+        elif kind == "rights":
+            o, c = rng.choice([("<p>", "</p>"), ("<div>", "</div>"), ("<div><small>", "</small></div>")])
+            put(o, rng.choice(["Copyright 20{} ", "&copy; 20{} ", "(c) 20{} ", "20{} All rights reserved "]).format(rng.randint(10, 30)) + said(0, 6), c, 0)
 
     html.append("<!DOCTYPE html><html><head><title>" + said(2, 6) + "</title><style>p{}</style></head><body>")
     for _ in range(rng.randint(0, 4)):
@@ -268,10 +285,13 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
                 other(["ad", "notice", "aside", "form"])
             kind = rng.choice(["p"] * 7 + ["li", "q", "h", "td", "pre", "b"])
             o2, c2 = {"p": ("<p>", rng.choice(["</p>", "</p>", ""])), "li": ("<ul><li>", "</li></ul>"), "q": ("<blockquote>", "</blockquote>"), "h": ("<h2>", "</h2>"), "td": ("<table><tr><td>", "</td></tr></table>"), "pre": ("<pre>", "</pre>"), "b": ("<p><b>", "<br>")}[kind]
-            put(o2, said(1, rng.choice([4, 12, 60, 120])), c2, 1)
+            text = said(1, rng.choice([4, 12, 60, 120]))
+            if o and rng.random() < 0.08:  # a marked article's own words on its rights belong to it
+                text = rng.choice(["All rights reserved.", f"Copyright 2012 {text}", f"{text} (c) {said(1, 3)}", f"&copy; {said(1, 3)}", f"{text} All rights reserved."])
+            put(o2, text, c2, 1)
         html.append(c)
     for _ in range(rng.randint(0, 4)):
-        other(["nav", "ad", "notice", "form", "aside", "comments", "comments", "footer", "footer"])
+        other(["nav", "ad", "notice", "form", "aside", "comments", "comments", "footer", "footer", "rights"])
     html.append("</body></html>")
     return "".join(html), y
 
@@ -297,8 +317,9 @@ def main_text(html: str | None, field: Field) -> str:
 
 def extract(pages: DataFrame, html: str = "html", training_pages: int = 500) -> DataFrame:
     """`pages` with their main text in `main_text` (underscores are put before a name that is taken); empty where the
-    html is null, empty or has no main text. Each page is taken by itself, whole, so rows that repeat agree; no
-    shuffle takes place. The field's weights, some hundred numbers, travel with the plan."""
+    html is null, empty or has no main text. Each page is taken by itself, whole, however long, so rows that repeat agree;
+    a tie of two labellings goes to what surrounds the article; no rows give no rows; ids and urls, null or not, pass
+    through. No shuffle takes place. The field's weights, some hundred numbers, travel with the plan."""
     field, out = trained(training_pages), free_name(small_batches(pages), "main_text")
     field.plain  # noqa: B018  made once, here
 

@@ -1,6 +1,8 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import html.parser
+import itertools
 import math
 import re
 import zlib
@@ -178,3 +180,42 @@ def targets(sizes, weights=(1, 2, 3), most=3):
             left -= out[s]
         open_ -= full
     return out
+
+
+class _Shown(html.parser.HTMLParser):
+    """The words that a page shows, and the blocks' borders, as the standard library's parser sees them."""
+
+    def __init__(self, unseen, inline):
+        super().__init__()
+        self.unseen, self.inline, self.off, self.out = unseen, inline, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.off += tag in self.unseen
+        if tag == "br":
+            self.out[-1] += " "
+        if tag not in self.inline:
+            self.out.append("")
+
+    def handle_endtag(self, tag):
+        self.off -= tag in self.unseen
+        if tag not in self.inline:
+            self.out.append("")
+
+    def handle_data(self, data):
+        if not self.off:
+            self.out[-1] += data
+
+
+def shown_blocks(page, unseen, inline):
+    parser = _Shown(unseen, inline)
+    parser.feed(page)
+    parser.close()
+    return [x for x in (" ".join(b.split()) for b in parser.out) if x]
+
+
+def likeliest(scores, move):
+    """The best of all labellings, tried one by one."""
+    def total(y):
+        return sum(s[k] for s, k in zip(scores, y, strict=True)) + sum(move[a][b] for a, b in zip(y, y[1:], strict=False))
+
+    return list(max(itertools.product((0, 1), repeat=len(scores)), key=total))
