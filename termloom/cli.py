@@ -10,6 +10,7 @@ import argparse
 import json
 import sys
 
+from termloom.plans.resolver import EntityResolver
 from termloom.sources.lexicon import Lexicon, MalformedDocumentError, ValidationError, json_schema
 from termloom.sources.outcomes import faults_text, malformed_text, report_text, unreadable_text, valid_text
 
@@ -30,15 +31,6 @@ def load(source: str) -> Lexicon | int:
     return code
 
 
-def resolve(lexicon: Lexicon, prompt: str, locale: str) -> dict:
-    from pyspark.sql import SparkSession
-
-    from termloom.plans.resolver import EntityResolver
-
-    spark = SparkSession.builder.config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
-    return EntityResolver(lexicon).transform_one(spark, prompt, locale)
-
-
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="termloom", description="Check lexicons and try prompts.")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -60,7 +52,7 @@ def main(argv: list[str] | None = None) -> int:
         print(valid_text(args.lexicon))
         return OK
     try:
-        report = resolve(lexicon, args.prompt, args.locale)
+        report = EntityResolver(lexicon).report_of(args.prompt, args.locale)
     except ValidationError as e:
         print(f"termloom: {e.message}", file=sys.stderr)
         return REJECTED

@@ -7,6 +7,7 @@ import unicodedata
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,59 +56,64 @@ def alone(text: str, start: int, end: int) -> bool:
     return not (start > 0 and _RUN.match(text[start - 1])) and not (end < len(text) and _RUN.match(text[end]))
 
 
-TOKEN = (
-    "struct<i:int,t:string,s:int,e:int,os:int,oe:int,word:boolean,"
-    "before:string,after:string,origins:array<int>,nt:string,ns:int,ne:int,noe:int>"
-)
+TOKEN = "struct<t:string,s:int,e:int,os:int,oe:int,word:boolean,before:string,after:string,edges:string,origins:array<int>>"
 
 
-def tokens_of(text: str, strip: bool, wordless: tuple[str, ...] = (), reach: int = 0, pairs: bool = False) -> list[tuple]:
+def tokens_of(text: str, strip: bool, wordless: tuple[str, ...] = (), reach: int = 0) -> list[tuple]:
     """All words of a folded text as rows of TOKEN.
 
     s, e and os, oe are spans in the folded and in the original text. With `reach`, `before` and `after` are what lies
-    around a word's start, as far as a form that has the word as its anchor can go, and `origins` maps them where
-    folding moved characters. With `pairs`, nt, ns, ne, noe tell of the next word. `wordless` forms, which no word
-    leads to, are looked for right here, at every place where they stand alone.
+    around a word's start, as far as a form that has the word as its anchor can go; `edges` has a w for each of their
+    characters that belongs to words, and `origins` maps them where folding moved characters. `wordless` forms, which no
+    word leads to, are looked for right here, at every place where they stand alone.
     """
     folded, origins = fold_with_origins(text, strip)
-    runs = [(m[0], m.start(), m.end()) for m in _RUN.finditer(folded)]
     rows = []
-    for i, (t, s, e) in enumerate(runs):
-        os_, oe = original_span(origins, s, e)
-        before = after = moved = None
+    for m in _RUN.finditer(folded):
+        s, e = m.span()
+        before = after = edges = moved = None
         if reach:
-            a = max(0, s - reach - 1)
-            before, after = folded[a:s], folded[s : s + reach + 1]
-            moved = None if origins is None else origins[a : s + reach + 1]
-        nt = ns = ne = noe = None
-        if pairs and i + 1 < len(runs):
-            nt, ns, ne = runs[i + 1]
-            noe = original_span(origins, ns, ne)[1]
-        rows.append((i, t, s, e, os_, oe, True, before, after, moved, nt, ns, ne, noe))
+            a, z = max(0, s - reach - 1), s + reach + 1
+            before, after, edges = folded[a:s], folded[s:z], "".join("w" if _RUN.match(c) else "-" for c in folded[a:z])
+            moved = None if origins is None else origins[a:z]
+        rows.append((m[0], s, e, *original_span(origins, s, e), True, before, after, edges, moved))
     for form in wordless:
         at = folded.find(form)
         while at >= 0:
             if alone(folded, at, at + len(form)):
-                rows.append((-1, form, at, at + len(form), *original_span(origins, at, at + len(form)), False, "", form, None, None, None, None, None))
+                rows.append((form, at, at + len(form), *original_span(origins, at, at + len(form)), False, "", form, "", None))
             at = folded.find(form, at + 1)
     return rows
 
 
-_NAMES = "i t s e os oe word before after origins nt ns ne noe".split()
+_NAMES = [x.split(":")[0] for x in TOKEN.removeprefix("struct<").split(",")]
 
 
-def tokens(text: Column, strip: Column, wordless: tuple[str, ...] = (), reach: int = 0, pairs: bool = False) -> Column:
+def tokens(text: Column, strip: Column, wordless: tuple[str, ...] = (), reach: int = 0) -> Column:
     """tokens_of() as a column; null text gives null."""
 
     def over(texts: pd.Series, stripped: pd.Series) -> pd.Series:
         return pd.Series([
-            None if t is None else [dict(zip(_NAMES, row, strict=True)) for row in tokens_of(t, bool(s), wordless, reach, pairs)]
+            None if t is None else [dict(zip(_NAMES, row, strict=True)) for row in tokens_of(t, bool(s), wordless, reach)]
             for t, s in zip(texts, stripped, strict=True)
         ])
 
     return F.pandas_udf(over, f"array<{TOKEN}>")(text, strip)
 
 
+def words_of(text: Column, strip: Column) -> Column:
+    """The words of the folded text, as a flat Arrow list; null text gives null."""
+
+    def over(texts: pa.Array, stripped: pa.Array) -> pa.Array:
+        found, offsets = [], [0]
+        for t, s in zip(texts.to_pylist(), stripped.to_pylist(), strict=True):
+            found += _RUN.findall(fold(t or "", s))
+            offsets.append(len(found))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.string()), mask=texts.is_null())
+
+    return F.arrow_udf(over, "array<string>")(text, strip)
+
+
 def folded(text: Column, strip: Column) -> Column:
     """fold() as a column."""
 

@@ -5,25 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[\p{L}\p{N}_]"
-
 
 def occurs() -> Column:
     """Whether the form of a joined row really stands at its anchor, and alone.
 
     A form's anchor is its longest run of word characters. Where a form stands alone, that run is a whole word of the
-    text, so joining words with anchors finds every occurrence, nested and overlapping ones too, each once.
+    text, so joining words with anchors finds every occurrence, nested and overlapping ones too, each once. Which
+    characters belong to words is told by the function that cut them.
     """
-    lead = F.col("anchor_off")
-    left = F.expr("substr(folded, 1, anchor_off)")
-    right = F.expr("substr(folded, anchor_off + 1)")
-    tail = F.expr("substr(after, form_len - anchor_off + 1, 1)")
-    edge = F.expr("substr(right(before, anchor_off + 1), 1, 1)")
-    outer = F.when(F.char_length("before") > lead, edge).otherwise(F.lit(""))
-    around = (
-        F.col("before").endswith(left) & F.col("after").startswith(right)
-        & ~tail.rlike(f"^{WORD}") & ~outer.rlike(f"^{WORD}")
-    )
+    left, right = F.expr("substr(folded, 1, anchor_off)"), F.expr("substr(folded, anchor_off + 1)")
+    start = F.char_length("before") - F.col("anchor_off")  # in `edges`
+    outer = F.when(start > 0, F.substring("edges", start, F.lit(1))).otherwise(F.lit(""))
+    tail = F.substring("edges", start + F.col("form_len") + 1, F.lit(1))
+    around = F.col("before").endswith(left) & F.col("after").startswith(right) & (outer != "w") & (tail != "w")
     return F.col("plain") | ~F.col("word") | around
 
 

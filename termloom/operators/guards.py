@@ -18,6 +18,10 @@ def is_blank(prompt: Column) -> Column:
     return prompt.rlike(r"^[\p{IsWhite_Space}\x1c-\x1f]*$")
 
 
+def too_long(n: int | str) -> str:
+    return f"Field 'prompt' has {n} characters, more than the maximum of {MAX_PROMPT_LENGTH}."
+
+
 def rejection(prompt: Column, locale: Column) -> Column:
     """Why a row is rejected, or null: a prompt that is too long, a locale that is missing."""
 
@@ -25,5 +29,6 @@ def rejection(prompt: Column, locale: Column) -> Column:
         none = F.lit(None).cast("string")
         return F.struct(message.alias("message"), none.alias("canonical_id"), none.alias("locale"), F.lit(field).alias("field")).cast(ERROR)
 
-    long = F.concat(F.lit("Field 'prompt' has "), F.char_length(prompt).cast("string"), F.lit(f" characters, more than the maximum of {MAX_PROMPT_LENGTH}."))
+    before, after = too_long("|").split("|")
+    long = F.concat(F.lit(before), F.char_length(prompt).cast("string"), F.lit(after))
     return F.when(is_oversize(prompt), fault(long, "prompt")).when(prompt.isNotNull() & locale.isNull(), fault(F.lit("Field 'locale' is missing."), "locale"))

@@ -46,3 +46,23 @@ EVENTS = {
         "failure": {"locales": {"en": _forms("errors")}},
     },
 }
+
+ODD = {
+    "schemaVersion": "1",
+    "defaultLocale": "en",
+    "entities": {
+        "language": {"locales": {"en": _forms("c++", "f#"), "ar-EG": _forms("لغة")}},
+        "arrow": {"locales": {"en": _forms("=>")}},
+        "coffee": {"locales": {"en": _forms("café", "crème brûlée"), "ar-EG": _forms("قهوة")}},
+        "north": {"locales": {"en": _forms("north sea oil")}},
+        "oil": {"locales": {"en": _forms("oil rig west")}},
+        "west": {"locales": {"en": _forms("west wing")}},
+        "wing": {"locales": {"en": _forms("wing mirror glass", "straße")}},
+    },
+}
+
+#: Before a part's name, by turns: chains of overlaps, punctuation, accents apart from and in their letters, Arabic.
+ODD_PROMPTS = (
+    "north sea oil rig west wing mirror glass", "c++ c++x xc++ c++_ f#, =>c++=>", "cafe\u0301 CAFÉ cafés crème bru\u0302lée", "شرب قهوة و لغة",
+    "½ STRASSE Straße straßen", "oil rig west wing mirror", "الــقهوة قهوة، لغةc++", "west wing-mirror glass north sea oil", "=> north sea",
+)

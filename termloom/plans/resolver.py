@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 import termloom
 from termloom.functions.canonical import MATCH, REPORT
 from termloom.functions.folding import strips, tokens
+from termloom.functions.reports import MatchReport, from_row
 from termloom.operators.chain import chain_key, chains
 from termloom.operators.exact import exact_hits
-from termloom.operators.fuzzy import pair_corrections, word_corrections
-from termloom.operators.guards import is_blank, rejection
-from termloom.operators.overlap import resolve, uncovered
-from termloom.sources.lexicon import Lexicon, ValidationError
+from termloom.operators.guards import is_blank, rejection, too_long
+from termloom.operators.names import free_name
+from termloom.operators.onepass import Compiled, resolved
+from termloom.sources.lexicon import MAX_PROMPT_LENGTH, Lexicon, ValidationError
 
 # Executors may not have this package on their path; its functions travel with the plan.
 cloudpickle.register_pickle_by_value(termloom)
 
+#: Rows of compiled forms, some hundred bytes each, up to which they are broadcast.
+MOST_BROADCAST = 20_000
+FIELDS = ("canonical_id", "entry_id", "surface_form", "span_start", "span_end", "score_tier", "matched_locale", "correction", "metadata")
 FORM_COLUMNS = (
     "f_chain string, pos int, f_strip boolean, form_id int, locale string, folded string, form_len int, anchor string, anchor_off int, "
     "wordless boolean, plain boolean, spaced boolean, budget int, entry_id string, canonical_id string, surface_form string, "
@@ -44,7 +48,7 @@ class EntityResolver:
         ]
         self.wordless = tuple(sorted({f["folded"] for f in self.forms if f["wordless"]}))
         self.reach = max((f["form_len"] for f in self.forms if not f["plain"] and not f["wordless"]), default=0)
-        self.pairs = fuzzy and any(f["spaced"] for f in self.forms)
+        self.compiled = Compiled(self.forms, self.chains, fuzzy)
         self.scripts = {key: sorted({strips(tag) for tag in chain}) for key, chain in self.chains.items()}
 
     @classmethod
@@ -59,81 +63,70 @@ class EntityResolver:
         """One row per form and chain that leads to it."""
         return spark.createDataFrame(self.rows, FORM_COLUMNS)
 
-    def _words(self, texts: DataFrame) -> DataFrame:
+    def words(self, texts: DataFrame) -> DataFrame:
         """texts (key, prompt, chain) as one row per word and way of folding."""
         scripts = F.create_map(*(x for k, v in self.scripts.items() for x in (F.lit(k), F.array(*(F.lit(s) for s in v)).cast("array<boolean>"))))
         folded = texts.withColumn("strip", F.explode(F.element_at(scripts, F.col("chain"))))
-        found = tokens(F.col("prompt"), F.col("strip"), self.wordless, self.reach, self.pairs)
+        found = tokens(F.col("prompt"), F.col("strip"), self.wordless, self.reach)
         return folded.select("key", "chain", "strip", F.explode(found).alias("w")).select("key", "chain", "strip", "w.*")
 
-    def claims(self, texts: DataFrame) -> DataFrame:
-        """All claims on texts (key, prompt, chain): key, pos, form_id, fuzzy and spans."""
-        words, forms = self._words(texts), self.forms_table(texts.sparkSession)
-        none = F.lit(None).cast("int")
-        out = exact_hits(words, F.broadcast(forms)).withColumns({"gap_start": none, "gap_end": none, "fuzzy": F.lit(0)})
-        if self.fuzzy:
-            out = out.unionByName(word_corrections(words, forms).withColumn("fuzzy", F.lit(1)))
-            if self.pairs:
-                out = out.unionByName(pair_corrections(words, forms).withColumn("fuzzy", F.lit(1)))
-        return out
-
-    def resolved(self, texts: DataFrame) -> DataFrame:
-        """(key, pos, claims) of the first locale of each text's chain in which anything matches."""
-        facts = self.forms_table(texts.sparkSession).select("form_id", "tier_rank", "canonical_id", "entry_id").dropDuplicates(["form_id"])
-        claim = F.struct("fuzzy", (F.col("start") - F.col("end")).alias("size"), "tier_rank", "start", "canonical_id", "entry_id", "end", "form_id", "ostart", "oend", "gap_start", "gap_end")
-        grouped = self.claims(texts).join(F.broadcast(facts), "form_id").groupBy("key", "pos").agg(F.collect_set(claim).alias("claims"))
-        kept = grouped.withColumn("claims", resolve(uncovered(F.col("claims")))).where(F.size("claims") > 0)
-        return kept.groupBy("key").agg(F.min_by("claims", "pos").alias("claims"), F.min("pos").alias("pos"))
+    def hits(self, texts: DataFrame) -> DataFrame:
+        """All places in texts (key, prompt, chain) where forms stand, those that lose against others too: key, pos,
+        form_id and spans. Words meet the forms' anchors in a join; it is a broadcast where forms are few."""
+        return exact_hits(self.words(texts), self.small(self.forms_table(texts.sparkSession)))
 
-    def matches(self, df: DataFrame, prompt="prompt", locale="locale") -> DataFrame:
-        """`df` exploded to one row per match: its columns, then match_no and the fields of a match."""
-        out = self.transform(df, prompt, locale, "_report")
-        return out.select(*df.columns, F.posexplode("_report.matches").alias("match_no", "_m")).select(*df.columns, "match_no", "_m.*")
+    def small(self, forms: DataFrame) -> DataFrame:
+        """`forms`, with a broadcast hint if the lexicon, which the driver holds, is small."""
+        return F.broadcast(forms) if len(self.rows) <= MOST_BROADCAST else forms
 
-    def transform(self, df: DataFrame, prompt="prompt", locale="locale", report="report", on_error: str = "column") -> DataFrame:
-        """`df` with a column `report`.
+    def matches(self, df: DataFrame, prompt="prompt", locale="locale") -> DataFrame:
+        """`df` exploded to one row per match: its columns, then match_no and the fields of a match. A field whose name
+        the table has gets an underscore in front."""
+        report = free_name(df.columns, "report")
+        out = self.transform(df, prompt, locale, report).where(F.size(F.col(report)["matches"]) > 0)
+        n, m = free_name(df.columns, "match_no"), free_name([*df.columns, report], "match")
+        mine = [F.col(f"`{c}`") for c in df.columns]
+        out = out.select(*mine, F.posexplode(F.col(report)["matches"]).alias(n, m))
+        return out.select(*mine, n, *(F.col(m)[c].alias(free_name(df.columns, c)) for c in FIELDS))
+
+    def transform(self, df: DataFrame | str, prompt="prompt", locale="locale", report="report", on_error: str = "column") -> DataFrame | MatchReport:
+        """`df` with a column `report`; with a text and its locale instead, that text's report, found in this process.
 
         A null prompt has a null report. A prompt that is too long, or one without a locale, is rejected: its report has
-        an error and no matches (`on_error="column"`), or the query fails (`"raise"`). Words meet forms in broadcast
-        joins where the prompts lie; only claims are grouped, by a digest of prompt and chain. Claims are a set, so a
-        prompt that many rows repeat has no more of them. Reports go back to the rows in one join on the digest.
+        an error and no matches (`on_error="column"`), or the query fails (`"raise"`). A report depends on its row alone,
+        so each prompt is read where it lies, in one Arrow function over the compiled lexicon, which travels with the
+        plan: no row is moved, and rows that repeat cost nothing but themselves.
         """
+        if not isinstance(df, DataFrame):
+            return from_row(self.report_of(df, prompt))
         p, loc = F.col(f"`{prompt}`"), F.col(f"`{locale}`")
         error = rejection(p, loc)
-        chain = chain_key(loc, self.chains)
-        key = F.unhex(F.md5(F.concat_ws("\x1f", p, chain)))
         fits = p.isNotNull() & loc.isNotNull() & error.isNull() & ~is_blank(p)
-        texts = df.where(fits).select(key.alias("key"), p.alias("prompt"), chain.alias("chain"))
-        found = self.resolved(texts)
-        forms = df.sparkSession.createDataFrame([tuple(f.values()) for f in self.forms], "form_id int, locale string, folded string, form_len int, anchor string, anchor_off int, wordless boolean, plain boolean, spaced boolean, budget int, entry_id string, canonical_id string, surface_form string, tier string, tier_rank int, metadata string")
-        named = found.select("key", F.posexplode("claims").alias("n", "c")).join(F.broadcast(forms.select("form_id", "surface_form", "tier", "locale", "metadata")), F.col("c.form_id") == F.col("form_id"))
-        one = F.struct("n", "c", "surface_form", "tier", F.col("locale").alias("matched"), "metadata")
-        named = named.groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("_found")).withColumnRenamed("key", "_key")
-        out = df.withColumn("_key_of", F.when(fits, key)).join(named, F.col("_key_of") == F.col("_key"), "left")
-
-        def match(x):
-            c = x["c"]
-            said = F.when(c["fuzzy"] == 1, F.substring(p, c["ostart"] + 1, c["oend"] - c["ostart"]))
-            return F.struct(
-                c["canonical_id"].alias("canonical_id"), c["entry_id"].alias("entry_id"), x["surface_form"].alias("surface_form"),
-                c["ostart"].alias("span_start"), c["oend"].alias("span_end"), x["tier"].alias("score_tier"),
-                x["matched"].alias("matched_locale"), said.alias("correction"), x["metadata"].alias("metadata"),
-            )
-
+        held = free_name([*df.columns, report], "answer")
+        df, answer = df.withColumn(held, resolved(self.compiled, F.when(fits, p), F.when(fits, chain_key(loc, self.chains)))), F.col(held)
         nothing = F.expr(f"cast(array() as array<{MATCH}>)")
-        matches = F.when(F.col("_found").isNotNull(), F.transform("_found", match)).otherwise(nothing)
+        matches = F.coalesce(answer["matches"], nothing)
         if on_error == "raise":
             matches = F.when(error.isNotNull(), F.raise_error(error["message"]).cast(f"array<{MATCH}>")).otherwise(matches)
-        used = F.coalesce(F.get("_found", F.lit(0))["matched"], loc)
-        made = F.struct(p.alias("prompt"), used.alias("locale"), matches.alias("matches"), error.alias("error"))
-        return out.withColumn(report, F.when(p.isNotNull(), made).cast(REPORT)).drop("_key", "_key_of", "_found")
-
-    def transform_one(self, spark: SparkSession, prompt: str, locale: str) -> dict:
-        """One prompt's report as a dict; rejected prompts raise."""
-        for i, c in enumerate(prompt):
+        made = F.struct(p.alias("prompt"), F.coalesce(answer["locale"], loc).alias("locale"), matches.alias("matches"), error.alias("error"))
+        return df.withColumn(report, F.when(p.isNotNull(), made).cast(REPORT)).drop(held)
+
+    def report_of(self, prompt: str, locale: str) -> dict:
+        """One prompt's report as a table has it; rejected prompts raise."""
+        for name, value in (("prompt", prompt), ("locale", locale)):
+            if not isinstance(value, str):
+                raise ValidationError(f"Field {name!r} is missing." if value is None else f"Field {name!r} is no text.", field=name)
+        if len(prompt) > MAX_PROMPT_LENGTH:
+            raise ValidationError(too_long(len(prompt)), field="prompt")
+        for i, c in enumerate(prompt if not prompt.isascii() else ""):
             if "\ud800" <= c <= "\udfff":
                 raise ValidationError(f"Field 'prompt' has the lone surrogate U+{ord(c):04X} at {i}.", field="prompt")
-        row = self.transform(spark.createDataFrame([(prompt, locale)], "prompt string, locale string")).first()["report"]
-        if row["error"]:
-            raise ValidationError(row["error"]["message"], field=row["error"]["field"])
-        return row.asDict(recursive=True)
+        found = self.compiled.resolve(prompt, self.compiled.key(locale)) if prompt.strip() else []
+        matches = []
+        for form, a, z, fuzzy in found:
+            f = self.forms[form]
+            matches.append({
+                "canonical_id": f["canonical_id"], "entry_id": f["entry_id"], "surface_form": f["surface_form"], "span_start": a, "span_end": z,
+                "score_tier": f["tier"], "matched_locale": f["locale"], "correction": prompt[a:z] if fuzzy else None, "metadata": f["metadata"],
+            })
+        return {"prompt": prompt, "locale": matches[0]["matched_locale"] if matches else locale, "matches": matches, "error": None}

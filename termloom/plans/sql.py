@@ -6,9 +6,10 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from termloom.functions.canonical import MATCH
 from termloom.functions.folding import fold
 from termloom.functions.similarity import damerau_levenshtein, jaro_winkler
-from termloom.plans.resolver import EntityResolver
+from termloom.plans.resolver import FIELDS, EntityResolver
 
 
 def register_functions(spark: SparkSession) -> None:
@@ -36,30 +37,15 @@ def resolve_view(spark: SparkSession, resolver: EntityResolver, view: str, out:
     resolver.matches(spark.table(view), prompt, locale).createOrReplaceTempView(out)
 
 
-def register_table_function(spark: SparkSession, resolver: EntityResolver, name: str = "exact_forms") -> None:
-    """`SELECT * FROM exact_forms(prompt, strip)`: where a lexicon's forms stand in a text, for lateral joins over a few
-    rows; tables are better resolved by resolve_view()."""
-    from termloom.functions.folding import tokens_of
+def register_table_function(spark: SparkSession, resolver: EntityResolver, name: str = "resolve_prompt") -> None:
+    """`SELECT * FROM resolve_prompt(prompt, locale)`: a prompt's matches, by all rules of the resolver, for lateral joins
+    too. A null prompt has none; a rejected one fails the query."""
 
-    by_anchor: dict[str, list] = {}
-    for f in resolver.forms:
-        by_anchor.setdefault(f["anchor"], []).append(f)
-    wordless, reach = resolver.wordless, resolver.reach
+    class ResolvePrompt:
+        def eval(self, prompt: str, locale: str):
+            if prompt is not None:
+                for m in resolver.report_of(prompt, locale)["matches"]:
+                    yield tuple(m[c] for c in FIELDS)
 
-    class ExactForms:
-        def eval(self, prompt: str, strip: bool):
-            from termloom.functions.folding import fold_with_origins, original_span
-
-            if prompt is None:
-                return
-            folded, origins = fold_with_origins(prompt, bool(strip))
-            for _, t, s, e, os, oe, word, *_ in tokens_of(prompt, bool(strip), wordless, reach):
-                for f in by_anchor.get(t, ()):
-                    a = s - f["anchor_off"]
-                    z = a + f["form_len"]
-                    apart = not (a > 0 and folded[a - 1].isalnum()) and not (z < len(folded) and folded[z].isalnum())
-                    if word != f["wordless"] and a >= 0 and folded[a:z] == f["folded"] and apart:
-                        yield (f["locale"], f["entry_id"], f["surface_form"], f["tier"], *original_span(origins, a, z))
-
-    kind = "locale string, entry_id string, surface_form string, tier string, span_start int, span_end int"
-    spark.udtf.register(name, F.udtf(ExactForms, returnType=kind))
+    kinds = MATCH.removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ")
+    spark.udtf.register(name, F.udtf(ResolvePrompt, returnType=kinds))

