@@ -18,6 +18,14 @@ FLOOR, REMEMBERED = 0.90, 1 << 17
 _RUN = re.compile(r"\w+")
 
 
+def letters(text: str) -> int:
+    """Which letters a text has, as bits. An edit changes two of them at most."""
+    out = 0
+    for c in text:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
 class _Locale:
     """The forms of one locale, by what leads to them."""
 
@@ -32,12 +40,14 @@ class _Locale:
                 self.by_anchor[f["anchor"]].append(f)
             if fuzzy and f["budget"] and f["tier"] != "canonical":
                 for n in range(f["form_len"] - f["budget"], f["form_len"] + f["budget"] + 1):
-                    (self.pairs if f["spaced"] else self.near)[n].append(f)
+                    (self.pairs if f["spaced"] else self.near)[n].append((letters(f["folded"]), 2 * f["budget"], f))
 
     def nearest(self, text: str, forms: dict) -> dict | None:
         """The form within its edit budget that is most similar, then least distant, then first by tier and names."""
-        best = None
-        for f in forms.get(len(text), ()):
+        best, own = None, letters(text)
+        for other, most, f in forms.get(len(text), ()):
+            if (own ^ other).bit_count() > most:
+                continue
             form = f["folded"]
             if (s := jaro_winkler(text, form)) >= FLOOR and (d := damerau_levenshtein(text, form)) <= f["budget"]:
                 rank = (-s, d, f["tier_rank"], f["canonical_id"], f["entry_id"], form)
