@@ -95,7 +95,8 @@ def format_chats(rows: DataFrame, template: Template = chat_template, conv_id="c
 
     Rows go in the order of turn, then role and text where turns tie or are null (nulls first). A null role or text is
     empty; rows that repeat are turns of their own; rows without a conv_id are one conversation without id; no rows
-    give no rows. A conversation is what a template takes, so its rows meet in one task; other columns aren't read.
+    give no rows. A conversation is what a template takes, so its rows, however long their texts, meet in one task; other
+    columns, whatever their names, aren't read.
     """
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     turns = rows.groupBy(F.col(conv_id).cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(one)).alias("turns"))

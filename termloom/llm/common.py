@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import string
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import termloom
+from termloom.operators.folders import shared_folder
+from termloom.operators.names import free_name as _free
 
 # Executors may not have this package on their path; its functions travel with the plan.
 cloudpickle.register_pickle_by_value(termloom)
@@ -32,14 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what the cluster names, or, where it names none, a temporary one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="termloom-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def stable(df: DataFrame) -> DataFrame:
     """`df` cut off from its lineage in the shared checkpoint folder, so that a lost executor loses nothing."""
     shared_folder(df.sparkSession)
@@ -79,10 +72,7 @@ def small_or_not(df: DataFrame, parts: int | None = None, rows: int = 50_000) ->
 
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that `df` doesn't have yet."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+    return _free(df.columns, name)
 
 
 # ---------------------------------------------------------------- bytes and words in numpy

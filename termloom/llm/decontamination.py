@@ -13,14 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from termloom.llm.common import ALNUM, chunks, flat, free_name, small_batches, word_hashes, words
+from termloom.llm.common import ALNUM, chunks, flat, free_name, small_batches, stable, word_hashes, words
 
 #: Words in a window of an item.
 WINDOW = 13
 #: Bytes of text in a shard; a longer document is a shard of its own.
 SHARD = 4 << 20
-#: Bytes of benchmark text that one pass holds in every task; a larger benchmark takes several passes.
-BLOCK = 16 << 20
+#: Bytes of benchmark text that one pass holds in every task, compiled to about three times as many; a larger benchmark
+#: takes several passes.
+BLOCK = 8 << 20
+#: Windows that are searched at a time.
+SEARCHED = 1 << 16
 #: Every so many text positions the index keeps the suffix's position.
 SAMPLE = 8
 
@@ -116,28 +119,41 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """The windows of benchmark items as symbols (2 and up; 0 ends a shard, 1 stands between stretches)."""
+    """The windows of benchmark items as symbols (2 and up; 0 ends a shard, 1 stands between stretches): where each
+    distinct one begins in the items' symbols, its length, and its items, some twenty bytes a word in all."""
 
     vocabulary: np.ndarray
-    windows: np.ndarray
+    symbols: np.ndarray
+    starts: np.ndarray
     lengths: np.ndarray
-    owners: list[np.ndarray]
+    owner_at: np.ndarray
+    owners: np.ndarray
     items: list[str]
 
+    def padded(self, i: int, j: int) -> np.ndarray:
+        """Windows i to j as rows that end together, zeros in front."""
+        width = int(self.lengths[i:j].max(initial=1))
+        back = np.arange(width - 1, -1, -1)[None]
+        at = (self.starts[i:j] + self.lengths[i:j] - 1)[:, None] - back
+        return np.where(back < self.lengths[i:j, None], self.symbols[np.maximum(at, 0)], 0).astype(np.int64)
+
 
 def compile_phrases(ids: list, texts: list, window: int = WINDOW) -> Phrases:
     b, offs = flat(pa.array(texts, pa.large_string()))
     starts, ends, at = words(b, offs, ALNUM)
     vocabulary, symbol = np.unique(word_hashes(b, starts, ends), return_inverse=True)
-    owners: dict[tuple, set] = {}
-    for i in range(len(ids)):
-        s = tuple((symbol[at[i] : at[i + 1]] + 2).tolist())
-        for k in range(max(1, len(s) - window + 1) if s else 0):
-            owners.setdefault(s[k : k + window], set()).add(i)
-    pad = np.zeros((len(owners), window), np.int64)
-    for k, w in enumerate(owners):
-        pad[k, window - len(w) :] = w
-    return Phrases(vocabulary, pad, np.array([len(w) for w in owners], np.int64), [np.array(sorted(x)) for x in owners.values()], [str(x) for x in ids])
+    symbol, n = (symbol + 2).astype(np.int32), np.diff(at)
+    many = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+    item = np.repeat(np.arange(len(n)), many)
+    start = at[item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+    every = Phrases(vocabulary, symbol, start, np.minimum(n[item], window), item[:0], item[:0], [str(x) for x in ids])
+    if len(start):  # equal windows are one, by their symbols
+        rows = np.ascontiguousarray(every.padded(0, len(start)).astype(np.int32))
+        _, first, of = np.unique(rows.view(f"V{rows.shape[1] * 4}").ravel(), return_index=True, return_inverse=True)
+        pairs = np.unique(np.stack([of, item], 1), axis=0)
+        every.starts, every.lengths, every.owners = start[first].astype(np.int32), every.lengths[first].astype(np.int32), pairs[:, 1].astype(np.int32)
+        every.owner_at = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1)).astype(np.int32)
+    return every
 
 
 def hits(p: Phrases, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,11 +178,14 @@ def hits(p: Phrases, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, n
     text = symbols[np.minimum(word, len(symbols) - 1)].copy()
     text[to + length] = 1
     index = FMIndex(np.append(text, 0))
-    lo, hi = index.search(p.windows, p.lengths)
-    n = hi - lo
-    window = np.repeat(np.arange(len(n)), n)
-    rows = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    return word[index.locate(rows)], window
+    places, windows = [], []
+    for i in range(0, len(p.starts), SEARCHED):
+        lengths = p.lengths[i : i + SEARCHED].astype(np.int64)
+        lo, hi = index.search(p.padded(i, i + SEARCHED), lengths)
+        n = hi - lo
+        windows.append(np.repeat(np.arange(i, i + len(n)), n))
+        places.append(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
+    return word[index.locate(np.concatenate(places))], np.concatenate(windows)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -202,7 +221,7 @@ def examine(p: Phrases, texts: pa.Array, before: list | None = None) -> list[dic
             if cut[d] < cut[d + 1]:
                 w, x = word[mine] - at[d], window[mine]
                 spans += zip(w.tolist(), (w + p.lengths[x]).tolist(), strict=True)
-                found |= {p.items[o] for u in np.unique(x) for o in p.owners[u]}
+                found |= {p.items[o] for u in np.unique(x) for o in p.owners[p.owner_at[u] : p.owner_at[u + 1]]}
             spans = _merged(spans)
             n, hit = int(at[d + 1] - at[d]), sum(y - x for x, y in spans)
             chars = []
@@ -244,20 +263,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, text="text", item_id="item_
 
     Each task cuts its rows into shards, builds an FM-index over each one's words (told apart by 64-bit hashes), and
     searches all windows in it. Texts are never shuffled. The windows travel with the plan; their size is counted
-    first, and beyond `block` bytes of items the texts are passed over once for each block. An item of fewer words than
-    a window is one window; an item, or a text, that is null or has no words hits nothing; repeated items count once;
-    an item without an id is called None.
+    first, and beyond `block` bytes of items the texts are passed over once for each block, and set down in between, so
+    that a task holds one block at a time.
+
+    An item of fewer words than a window is one window; an item, or a text, that is null or has no words hits nothing;
+    repeated items count once; an item without an id is called None. Rows that repeat, and rows without an id, are judged
+    by their text like all others; ties can't be. No rows give no rows; no items hit nothing. A text longer than a shard
+    is a shard of its own. Other columns pass through; where one is called `dc`, the struct is `_dc`.
     """
     out = free_name(small_batches(docs), "dc")
     size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     n = max(1, math.ceil(size / block))
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64(item_text), F.lit(n)) == k) if n > 1 else items
+        part = items.where(F.pmod(F.xxhash64(item_id, item_text), F.lit(n)) == k) if n > 1 else items
         rows = part.select(F.col(item_id).cast("string"), item_text).collect()
         phrases = compile_phrases([r[0] for r in rows], [r[1] for r in rows], window)
         if k == 0:
             target = StructType([*docs.schema.fields, StructField(out, _parse_datatype_string(RESULT_DDL))])
         docs = docs.mapInArrow(_pass(text, out, phrases), target)
+        docs = stable(docs) if k < n - 1 else docs
     return docs
 
 

@@ -21,7 +21,8 @@ def line_dedup(docs: DataFrame, doc_id="doc_id", text="text", min_chars: int = 4
     digest and id, so that a line of a third of all documents is counted by many tasks; the common keys are set down
     then, and broadcast if they are few, else joined in a way that may split a hot key. Null or empty text is one empty
     line, and what is left of null is empty. Rows without an id don't count as documents and keep their lines; rows
-    that repeat an id are one document.
+    that repeat an id are one document. Ties can't be: the largest id is one. No rows give no rows. A text of any length
+    is one row of a task, whole. Other columns pass through; names of this function's that are taken get underscores.
     """
     who, keys, drop, lines = (free_name(docs, f"ld_{x}") for x in ("id", "keys", "drop", "lines"))
     whole = F.coalesce(F.col(text), F.lit(""))

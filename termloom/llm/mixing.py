@@ -59,8 +59,9 @@ def mix_sources(
 
     Each document is taken floor(rate) times, plus once more with a probability equal to the rest of the rate, by a
     draw seeded with its id; reruns and other partitionings agree. Null text has size 0; null source is a source of
-    its own, last in order; a source without words has rate 0; rows that repeat an id share its draw; no rows give
-    no rows.
+    its own, last in order; a source without words has rate 0; rows that repeat an id share its draw, and ties of
+    limits go by the source's name; no rows give no rows; texts of any length are only counted. Other columns pass
+    through. Targets take one task, which holds one row per source: up to some million sources, not one per document.
     """
     size, key = free_name(docs, "mix_size"), free_name(docs, "mix_key")
     n = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")

@@ -94,7 +94,8 @@ def quality_rules(docs: DataFrame, text: str = "text", rules=RULES, prefix: str
     """`docs` with the counts of `measure` and, under `prefix`, base_failed and kept.
 
     base_failed: fewer than 10 words, or more than 20 of 100 words repeated. kept: not base_failed and all rules hold.
-    Null and empty texts fail; repeated rows are judged alike; columns of the input stay, and underscores are put
+    Null and empty texts fail; repeated rows are judged alike, with or without an id; ties can't be; no rows give no
+    rows; a text of any length is measured whole, in its own row; columns of the input stay, and underscores are put
     before the prefix where a name is taken.
     """
     while any(c.lower().startswith(prefix.lower()) for c in docs.columns):

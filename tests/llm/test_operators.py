@@ -449,3 +449,41 @@ def test_other_queries_equal_brute_force(spark):
         assert chats[conv]["turns_sha256"] == brute.sha("".join(f"{r['role']}\n{r['text']}\n" for r in mine))
         said = "".join(r["text"] for r in mine if r["role"] == "assistant")
         assert (chats[conv]["loss_chars"], chats[conv]["loss_sha256"]) == (len(said), brute.sha(said))
+
+
+def test_very_long_texts(spark):
+    """Texts of a megabyte and more, beside a null and an empty one, give what small ones give."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(5000)]
+    say = lambda k: " ".join(rng.choices(vocabulary, k=k))
+    long, passage = say(180_000), say(40)
+    rows = [(1, None), (2, ""), (3, passage), (4, f"{long}\n{passage}"), (5, f"{long} {say(3)}"), (6, say(20) + "\n" + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    items = spark.createDataFrame([("a", " ".join(passage.split()[5:30]))], "item_id string, text string")
+    assert len(rows[4][1]) > 1_000_000
+    parts = {r["doc_id"]: r["component_id"] for r in jaccard_components(df).collect()}
+    assert parts == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffix_dedup(df).collect()}
+    assert got[5][1] == len(long.encode()) + (rows[4][1][len(long)] == rows[3][1][len(long)]) and got[4][1] >= len(passage.encode())
+    assert {r["doc_id"]: r["dc"]["n_hit"] for r in decontaminate(df, items).collect()} == {1: 0, 2: 0, 3: 25, 4: 25, 5: 0, 6: 25}
+    kept = {r["doc_id"]: r["text"] for r in line_dedup(df, min_docs=3).collect()}
+    assert kept[4] == long and kept[6] == rows[5][1] and kept[1] == ""
+    scores = {r["doc_id"]: r for r in lm_score(df).collect()}
+    assert scores[4]["lm_n_tokens"] == 180_041 and scores[1]["lm_n_tokens"] == 1 and scores[4]["lm_score"] < scores[3]["lm_score"] < 0
+    assert {r["doc_id"]: r["q_n_words"] for r in quality_rules(df).collect()} == {1: 0, 2: 0, 3: 40, 4: 180_040, 5: 180_003, 6: 60}
+    assert sum(r["mix_size"] * r["mix_copies"] for r in mix_sources(df).collect()) > 0
+    assert main_text(f"<article><p>{long}</p></article>", trained()) == long
+    talk = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    assert [x["end"] - x["start"] for x in format_chats(talk).first()["loss"]] == [len(long)]
+
+
+def test_hot_ids(spark):
+    """A third of all rows without an id, and a third with the same one, each with texts of their own."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i} " + "word " * (i % 9) + f"of {i % 50}\nshared line that is long enough to be seen by all of them") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    assert suffix_dedup(df).where("doc_id is null").agg(F.sum("n_removed")).first()[0] == 0
+    assert lm_score(df, block=1 << 14).where("doc_id is null").count() == 1000
+    assert jaccard_components(df).where("doc_id = 7").select("component_id").distinct().count() == 1
+    left = line_dedup(df).where("text not like '%shared line%'").count()
+    assert 1000 < left < 2000
+    assert substring_dedup(df).count() == 3000 and mix_sources(df).count() == 3000
