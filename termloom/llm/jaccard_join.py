@@ -306,31 +306,27 @@ def _filter_rows(bits: int):
     return over
 
 
-def _filtered(bitmap: bytes, bits: int):
-    """The documents that the filter lets through."""
-    packed = np.frombuffer(bitmap, np.uint8)
+Filter = tuple[bytes, int]
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            where = _places(whole.column(0).to_numpy(zero_copy_only=False), bits)
-            on = ((packed[where >> np.uint64(3)] >> (7 - (where & np.uint64(7))).astype(np.uint8)) & 1).all(0)
-            yield whole.filter(pa.array(on.astype(bool)))
 
-    return over
+def _passed(ids: np.ndarray, some: Filter) -> pa.Array:
+    """Whether the filter lets ids through."""
+    packed, where = np.frombuffer(some[0], np.uint8), _places(ids, some[1])
+    return pa.array(((packed[where >> np.uint64(3)] >> (7 - (where & np.uint64(7))).astype(np.uint8)) & 1).all(0).astype(bool))
 
 
-def _wanted(docs: DataFrame, want: DataFrame, most: int) -> DataFrame:
-    """The documents whose ids are in `want` (column node), and perhaps some others. A Bloom filter of 16 bits an id, of
-    8 MB at most, picks them where they lie; more ids than it can hold are joined."""
+def _wanted(docs: DataFrame, want: DataFrame, most: int) -> tuple[DataFrame, Filter | None]:
+    """The documents whose ids are in `want` (column node), or all of them and a Bloom filter that picks them where they
+    lie: 16 bits an id, 8 MB at most. More ids than that can hold are joined."""
     want = snug(want, most)
     count = want.count()
     if count > FILTERED:
-        return docs.join(want, F.col("doc_id") == F.col("node"), "left_semi")
+        return docs.join(want, F.col("doc_id") == F.col("node"), "left_semi"), None
     bits = max(10, (16 * count).bit_length())
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
     for row in want.coalesce(8).mapInPandas(_filter_rows(bits), "bitmap binary").collect():
         bitmap |= np.frombuffer(zlib.decompress(row[0]), np.uint8)
-    return docs.mapInArrow(_filtered(bitmap.tobytes(), bits), "doc_id long, text string")
+    return docs, (bitmap.tobytes(), bits)
 
 
 def _heads(levels: np.ndarray):
@@ -343,12 +339,13 @@ def _heads(levels: np.ndarray):
     return of
 
 
-def _told(of):
-    """What `of` makes of each document's set, each set once a task."""
+def _told(of, some: Filter | None):
+    """What `of` makes of the set of each document that the filter, if there is one, lets through; each set once a task."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
+            batch = batch if some is None else batch.filter(_passed(batch.column(0).to_numpy(zero_copy_only=False), some))
             ids, k = batch.column(0).to_pylist(), 0
             for s, at in shingle_sets(batch.column(1)):
                 rows = []
@@ -399,7 +396,8 @@ def _met(pairs: DataFrame, docs: DataFrame, groups: int, of, test) -> DataFrame:
     together, and each of their sets goes there once; there are `groups` of them at most."""
     most = 2 * pairs.count()
     places = snug(pairs.select("task", F.explode(F.array("a", "b")).alias("node")).distinct(), most)
-    told = _wanted(docs, places.select("node").distinct(), most).mapInArrow(_told(of), "node long, told binary")
+    docs, some = _wanted(docs, places.select("node").distinct(), most)
+    told = docs.mapInArrow(_told(of, some), "node long, told binary")
     sent = places.withColumnRenamed("task", "to").join(told, "node")
     return snug(pairs.groupBy("task").cogroup(sent.groupBy("to")).applyInPandas(_compare(test), "a long, b long, task long").coalesce(groups))
 
