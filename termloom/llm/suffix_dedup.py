@@ -16,6 +16,9 @@ from termloom.llm.common import K_INV, chunks, flat, mix, pack, powers, prefix_h
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a block and in a piece of it, bytes of text per bucket, and bytes of strings in a shard of a bucket.
 BLOCK, PIECE, PER_BUCKET, SHARD = 8 << 20, 1 << 20, 3 << 20, 1 << 19
+#: Stretches around one short string beyond which each of their starts goes to a bucket of its own bytes, and how many more
+#: buckets there are for such starts.
+HOT, SPREAD = 1 << 14, 16
 
 
 # ---------------------------------------------------------------- transforms of shards, and their merge
@@ -210,8 +213,9 @@ def stretches(texts: pa.Array):
 
 
 HIT = np.dtype([("doc", "i8"), ("start", "u4"), ("end", "u4")])
-ASK = "block int, bucket int, keys binary, several binary"
-TOLD = "block int, bucket int, shared binary"
+FACT = np.dtype([("doc", "i8"), ("start", "u4"), ("len", "u4"), ("bucket", "u4")])
+ASK = "block int, bucket int, keys binary, several binary, counts binary"
+TOLD = "block int, bucket int, shared binary, hot binary"
 SENT = "block int, bucket int, strings binary, facts binary, done binary"
 GONE = "block int, gone binary"
 
@@ -220,46 +224,54 @@ def _pieces(frame: pd.DataFrame):
     return stretches(pa.array(frame["text"].tolist(), pa.large_string()))
 
 
-def _keys(ids: np.ndarray, pieces, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's distinct keys in the order of (bucket, key), where each bucket's begin, and which several documents have."""
-    keys, docs = [], []
-    for _, doc, *_, key, _ in pieces:
+def _keys(ids: np.ndarray, pieces, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct keys in the order of (bucket, key), where each bucket's begin, which several documents have, and
+    how many different stretches each has (those of several pieces count again; at most 65535)."""
+    keys, docs, counts = [], [], []
+    for _, doc, *_, key, name in pieces:
         k, inverse = np.unique(key, return_inverse=True)
         lo, hi = np.full(len(k), np.iinfo(np.int64).max), np.full(len(k), np.iinfo(np.int64).min)
         np.minimum.at(lo, inverse, ids[doc])
         np.maximum.at(hi, inverse, ids[doc])
         keys += [k, k]
         docs += [lo, hi]
-    key, doc = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (docs, np.int64)))
+        one = inverse[np.unique(name, return_index=True)[1]]
+        counts += [np.bincount(one, minlength=len(k)), np.zeros(len(k), np.int64)]
+    key, doc, count = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (docs, np.int64), (counts, np.int64)))
     o = np.argsort(key, kind="stable")
-    key, doc = key[o], doc[o]
+    key, doc, count = key[o], doc[o], count[o]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first) if len(key) else np.zeros(0, bool)
+    count = np.minimum(np.add.reduceat(count, first), 65535).astype(np.uint16) if len(key) else np.zeros(0, np.uint16)
     key = key[first]
     bucket = key % np.uint64(buckets)
     o = np.argsort(bucket, kind="stable")
-    return key[o], np.searchsorted(bucket[o], np.arange(buckets + 1).astype(np.uint64)), several[o]
+    return key[o], np.searchsorted(bucket[o], np.arange(buckets + 1).astype(np.uint64)), several[o], count[o]
 
 
 def _ask(buckets: int):
     def over(frame: pd.DataFrame) -> pd.DataFrame:
-        key, at, several = _keys(frame["doc_id"].to_numpy(np.int64), _pieces(frame), buckets)
-        block = int(frame["block"].iloc[0])
-        rows = [(block, i, pack(key[at[i] : at[i + 1]]), np.packbits(several[at[i] : at[i + 1]]).tobytes()) for i in np.flatnonzero(np.diff(at)).tolist()]
-        return pd.DataFrame(rows, columns=["block", "bucket", "keys", "several"])
+        key, at, several, count = _keys(frame["doc_id"].to_numpy(np.int64), _pieces(frame), buckets)
+        block, rows = int(frame["block"].iloc[0]), []
+        for i in np.flatnonzero(np.diff(at)).tolist():
+            mine = slice(at[i], at[i + 1])
+            rows.append((block, i, pack(key[mine]), np.packbits(several[mine]).tobytes(), count[mine].tobytes()))
+        return pd.DataFrame(rows, columns=["block", "bucket", "keys", "several", "counts"])
 
     return over
 
 
 def _tell(frame: pd.DataFrame) -> pd.DataFrame:
-    """Which of the keys that each block sent are in several documents: those of several blocks, and those that one has."""
+    """Which of the keys that each block sent are in several documents: those of several blocks, and those that one has;
+    and which ones have more than `HOT` stretches."""
     keys = [unpack(x) for x in frame["keys"]]
     several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(frame["several"], keys, strict=True)]
     _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    count = np.bincount(inverse, weights=1 + np.concatenate(several).astype(np.int64)) > 1
+    shared = np.bincount(inverse, weights=1 + np.concatenate(several).astype(np.int64)) > 1
+    hot = np.bincount(inverse, weights=np.concatenate([np.frombuffer(x, np.uint16) for x in frame["counts"]])) > HOT
     at = np.cumsum([0, *map(len, keys)])
-    shared = [np.packbits(count[inverse[a:b]]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-    return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "shared": shared})
+    told = ([np.packbits(x[inverse[a:b]]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)] for x in (shared, hot))
+    return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], **dict(zip(("shared", "hot"), told, strict=True))})
 
 
 def _hits(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
@@ -297,41 +309,57 @@ def firsts(b: np.ndarray, name: np.ndarray, begin: np.ndarray, length: np.ndarra
     return base
 
 
+def starts_apart(b: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray, start: np.ndarray) -> tuple:
+    """Stretches taken apart: the `LENGTH` bytes of each of their starts by themselves, and their hashes."""
+    n = end - begin - LENGTH + 1
+    of = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    at, sums = begin[of] + step, prefix_hash(b)
+    name = mix((sums[at + LENGTH] - sums[at]) * powers(K_INV, len(b) + 1)[at])
+    return doc[of], at, at + LENGTH, start[of] + step, name
+
+
 def _send(buckets: int):
     def over(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return pd.DataFrame(columns=["block", "bucket", "strings", "facts", "done"])
         ids, pieces = frame["doc_id"].to_numpy(np.int64), list(_pieces(frame))
-        key, at, _ = _keys(ids, pieces, buckets)
-        shared = np.zeros(len(key), bool)
-        for i, x in zip(told["bucket"], told["shared"], strict=True):
-            shared[at[i] : at[i + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=at[i + 1] - at[i])
-        wanted = np.sort(key[shared])
-        names, facts, strings, done = [], [], [], []
+        key, at, *_ = _keys(ids, pieces, buckets)
+        shared, hot = np.zeros((2, len(key)), bool)
+        for i, *told_ in zip(told["bucket"], told["shared"], told["hot"], strict=True):
+            for of, x in zip((shared, hot), told_, strict=True):
+                of[at[i] : at[i + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=at[i + 1] - at[i])
+        by = np.argsort(key)
+        key, shared, hot = key[by], shared[by], hot[by]
+        facts, places, done, data = [], [], [], []
         for b, doc, begin, end, start, k, name in pieces:
-            near = np.minimum(np.searchsorted(wanted, k), max(0, len(wanted) - 1))
-            on = wanted[near] == k if len(wanted) else np.zeros(len(k), bool)
-            doc, begin, end, start, k, name = ids[doc[on]], begin[on], end[on], start[on], k[on], name[on]
+            of = np.searchsorted(key, k)
+            on = shared[of]
+            apart = hot[of[on]]
+            stretch = [x[on] for x in (ids[doc], begin, end, start, name, k % np.uint64(buckets))]
+            if apart.any():
+                split = starts_apart(b, *(x[apart] for x in stretch[:4]))
+                split += (buckets + split[-1] % np.uint64(SPREAD * buckets),)
+                stretch = [np.concatenate([x[~apart], y.astype(x.dtype)]) for x, y in zip(stretch, split, strict=True)]
+            doc, begin, end, start, name, bucket = stretch
             o = np.lexsort((doc, name))
-            doc, begin, end, start, k, name = doc[o], begin[o], end[o], start[o], k[o], name[o]
+            doc, begin, end, start, name, bucket = (x[o] for x in (doc, begin, end, start, name, bucket))
             later = doc > doc[firsts(b, name, begin, end - begin)]  # a smaller document of this piece has the same stretch
             done.append(_hits(doc[later], start[later], end[later] - begin[later] + start[later]))
             keep = ~later
-            row = np.zeros(int(keep.sum()), [("doc", "i8"), ("start", "u4"), ("len", "u4"), ("bucket", "u4")])
-            row["doc"], row["start"], row["len"], row["bucket"] = doc[keep], start[keep], (end - begin)[keep], k[keep] % np.uint64(buckets)
+            row = np.zeros(int(keep.sum()), FACT)
+            row["doc"], row["start"], row["len"], row["bucket"] = doc[keep], start[keep], (end - begin)[keep], bucket[keep]
             facts.append(row)
-            names.append(name[keep])
-            strings.append(_gather(b, begin[keep], (end - begin)[keep]))
+            places.append(begin[keep] + sum(map(len, data)))
+            data.append(b)
         block, rows = int(frame["block"].iloc[0]), []
         if facts:
-            fact, data = np.concatenate(facts), np.concatenate(strings)
-            place = np.cumsum(fact["len"].astype(np.int64)) - fact["len"]
+            fact, place, data = map(np.concatenate, (facts, places, data))
             o = np.argsort(fact["bucket"], kind="stable")
-            cut = np.searchsorted(fact["bucket"][o], np.arange(buckets + 1))
-            for i in np.flatnonzero(np.diff(cut)):
-                mine = o[cut[i] : cut[i + 1]]
-                f = fact[mine]
-                rows.append((block, int(i), _gather(data, place[mine], f["len"].astype(np.int64)).tobytes(), f.tobytes(), b""))
+            cut = np.append(np.flatnonzero(np.diff(fact["bucket"][o].astype(np.int64), prepend=-1)), len(o))
+            for a, z in zip(cut[:-1], cut[1:], strict=True):
+                f = fact[o[a:z]]
+                rows.append((block, int(f["bucket"][0]), _gather(data, place[o[a:z]], f["len"].astype(np.int64)).tobytes(), f.tobytes(), b""))
         if any(done):
             rows.append((block, block % buckets, b"", b"", b"".join(done)))
         return pd.DataFrame(rows, columns=["block", "bucket", "strings", "facts", "done"])
@@ -339,9 +367,6 @@ def _send(buckets: int):
     return over
 
 
-FACT = np.dtype([("doc", "i8"), ("start", "u4"), ("len", "u4"), ("bucket", "u4")])
-
-
 def _find(frame: pd.DataFrame) -> pd.DataFrame:
     """A bucket's strings, each once with its smallest document; then which of their bytes begin a repeat."""
     data = np.concatenate([np.frombuffer(x, np.uint8) for x in frame["strings"]])
@@ -422,7 +447,9 @@ def suffix_dedup(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     least hash inside their 50 bytes, and asks the buckets of those hashes which ones several documents have; only such
     stretches can hold a repeat and go on, each distinct one once. A bucket lays its strings out as shards, builds each
     shard's transform, merges them by refining their interleave, and takes from the common prefixes the groups of equal
-    50 bytes and each group's smallest document. What begins a repeat goes back to the block, which cuts its texts.
+    50 bytes and each group's smallest document. A short string that stands in more than `HOT` different stretches would
+    bring them all to one bucket, so each of their starts goes with its 50 bytes to a bucket that these bytes name.
+    What begins a repeat goes back to the block, which cuts its texts.
     Hashes only say where to look: stretches are one if their bytes are. Blocks and buckets exchange rows for what they
     hold, never for what they don't, so their number is bounded by the stretches.
 

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,7 +176,9 @@ def test_components(spark):
 # 4 ---------------------------------------------------------------------------
 
 
-def test_suffix_dedup(docs, odd_docs, empty, rows, monkeypatch):
+@pytest.mark.parametrize("hot", [sd.HOT, 3, 0])
+def test_suffix_dedup(docs, odd_docs, empty, rows, monkeypatch, hot):
+    monkeypatch.setattr(sd, "HOT", hot)
     monkeypatch.setattr(sd, "BLOCK", 1 << 14)
     monkeypatch.setattr(sd, "PER_BUCKET", 1 << 13)
     monkeypatch.setattr(sd, "PIECE", 1 << 12)
@@ -186,6 +189,25 @@ def test_suffix_dedup(docs, odd_docs, empty, rows, monkeypatch):
     assert suffix_dedup(empty).count() == 0
 
 
+def test_a_short_string_in_many_contexts(spark, monkeypatch):
+    """What stands around it is spread over the buckets, and the result is that of brute force."""
+    rng = random.Random(9)
+    say = lambda k: "".join(rng.choices("abcdefghijklmnop ", k=k))
+    rows = [(i, f"{say(rng.randint(0, 60))}-=-= the same words in each of them =-=-{say(rng.randint(0, 60))}") for i in range(600)]
+    rows += [(1000 + i, rows[i * 7][1][5:] + say(9)) for i in range(60)]
+    largest = {}
+    for hot in (1 << 14, 50):
+        monkeypatch.setattr(sd, "HOT", hot)
+        frame = pd.DataFrame(rows, columns=["doc_id", "text"]).assign(block=0)
+        told = pd.concat([sd._tell(f) for _, f in sd._ask(4)(frame).groupby("bucket")])
+        sent = sd._send(4)(frame, told)
+        largest[hot] = sent["strings"].str.len().max()
+    assert largest[50] * 3 < largest[1 << 14]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.suffix_dedup(rows)
+    assert got == want and sum(w[1] for w in want.values()) > 2000
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_merged_transforms(seed):
     rng = random.Random(seed)
