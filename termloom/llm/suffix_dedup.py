@@ -410,7 +410,7 @@ def _find(frame: pd.DataFrame) -> pd.DataFrame:
         doc, begin, end, who = map(np.concatenate, (doc, begin, end, who))
         o = np.argsort(who, kind="stable")
         cut = np.flatnonzero(np.append(True, who[o][1:] != who[o][:-1])) if len(o) else np.zeros(0, np.int64)
-        for i, j in zip(cut, np.append(cut[1:], len(o)), strict=True):
+        for i, j in zip(cut, np.append(cut, len(o))[1:], strict=True):
             out.append((int(who[o[i]]), _hits(doc[o[i:j]], begin[o[i:j]], end[o[i:j]])))
     return pd.DataFrame(out, columns=["block", "gone"])
 

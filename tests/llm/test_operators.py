@@ -206,6 +206,8 @@ def test_a_short_string_in_many_contexts(spark, monkeypatch):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute.suffix_dedup(rows)
     assert got == want and sum(w[1] for w in want.values()) > 2000
+    # Short strings meet, but no string of 50 bytes is repeated.
+    assert suffix_dedup(spark.createDataFrame(rows[:40], "doc_id long, text string")).agg(F.sum("n_removed")).first()[0] == sum(w[1] for w in brute.suffix_dedup(rows[:40]).values())
 
 
 @pytest.mark.parametrize("seed", range(12))
