@@ -16,9 +16,8 @@ from termloom.llm.common import K_INV, chunks, flat, mix, pack, powers, prefix_h
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a block and in a piece of it, bytes of text per bucket, and bytes of strings in a shard of a bucket.
 BLOCK, PIECE, PER_BUCKET, SHARD = 8 << 20, 1 << 20, 3 << 20, 1 << 19
-#: Stretches around one short string beyond which each of their starts goes to a bucket of its own bytes, and how many more
-#: buckets there are for such starts.
-HOT, SPREAD = 1 << 14, 16
+#: Stretches around one short string beyond which each of their starts goes to a bucket of its own bytes.
+HOT = 1 << 14
 
 
 # ---------------------------------------------------------------- transforms of shards, and their merge
@@ -339,7 +338,7 @@ def _send(buckets: int):
             stretch = [x[on] for x in (ids[doc], begin, end, start, name, k % np.uint64(buckets))]
             if apart.any():
                 split = starts_apart(b, *(x[apart] for x in stretch[:4]))
-                split += (buckets + split[-1] % np.uint64(SPREAD * buckets),)
+                split += (buckets + split[-1] % np.uint64(buckets),)  # a number above the buckets' tells them from others
                 stretch = [np.concatenate([x[~apart], y.astype(x.dtype)]) for x, y in zip(stretch, split, strict=True)]
             doc, begin, end, start, name, bucket = stretch
             o = np.lexsort((doc, name))
@@ -355,11 +354,12 @@ def _send(buckets: int):
         block, rows = int(frame["block"].iloc[0]), []
         if facts:
             fact, place, data = map(np.concatenate, (facts, places, data))
-            o = np.argsort(fact["bucket"], kind="stable")
-            cut = np.append(np.flatnonzero(np.diff(fact["bucket"][o].astype(np.int64), prepend=-1)), len(o))
+            bucket = fact["bucket"].astype(np.int64) % buckets
+            o = np.argsort(bucket, kind="stable")
+            cut = np.append(np.flatnonzero(np.diff(bucket[o], prepend=-1)), len(o))
             for a, z in zip(cut[:-1], cut[1:], strict=True):
                 f = fact[o[a:z]]
-                rows.append((block, int(f["bucket"][0]), _gather(data, place[o[a:z]], f["len"].astype(np.int64)).tobytes(), f.tobytes(), b""))
+                rows.append((block, int(bucket[o[a]]), _gather(data, place[o[a:z]], f["len"].astype(np.int64)).tobytes(), f.tobytes(), b""))
         if any(done):
             rows.append((block, block % buckets, b"", b"", b"".join(done)))
         return pd.DataFrame(rows, columns=["block", "bucket", "strings", "facts", "done"])
@@ -367,46 +367,64 @@ def _send(buckets: int):
     return over
 
 
-def _find(frame: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's strings, each once with its smallest document; then which of their bytes begin a repeat."""
+def names(data: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of strings that lie end to end, some megabytes at a time."""
+    out, ends, i = np.empty(len(length), np.uint64), np.cumsum(length), 0
+    while i < len(length):
+        a = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, a + PIECE, "right")))
+        n, at = length[i:j], ends[i:j] - length[i:j] - a
+        sums = prefix_hash(data[a : ends[j - 1]])
+        out[i:j] = mix((sums[at + n] - sums[at]) * powers(K_INV, len(sums))[at] + n.astype(np.uint64))
+        i = j
+    return out
+
+
+def _find(buckets: int):
+    return lambda frame: _found(frame, buckets)
+
+
+def _found(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """A bucket's strings, each once with its smallest document; then which of their bytes begin a repeat. Starts that came
+    by themselves have been compared by then, and no other string holds what begins there."""
     data = np.concatenate([np.frombuffer(x, np.uint8) for x in frame["strings"]])
     fact = np.concatenate([np.frombuffer(x, FACT) for x in frame["facts"]])
     block = np.repeat(frame["block"].to_numpy(), [len(x) // FACT.itemsize for x in frame["facts"]])
     out = [(int(k), x) for k, x in zip(frame["block"], frame["done"], strict=True) if x]
     if len(fact):
         length = fact["len"].astype(np.int64)
-        at = np.cumsum(length) - length
-        sums = prefix_hash(data)
-        name = mix((sums[at + length] - sums[at]) * powers(K_INV, len(data) + 1)[at] + fact["len"])
+        at, name = np.cumsum(length) - length, names(data, length)
         o = np.lexsort((fact["doc"], name))
         fact, block, at, length, name = fact[o], block[o], at[o], length[o], name[o]
+        apart = fact["bucket"] >= buckets
         base = firsts(data, name, at, length)
         later = fact["doc"] > fact["doc"][base]
         # A smaller document has the whole string: every start in it goes.
         doc, begin, end, who = [fact["doc"][later]], [fact["start"][later].astype(np.int64)], [fact["start"][later] + length[later]], [block[later]]
-        own = np.flatnonzero(base == np.arange(len(base)))
-        least = least_owner(_gather(data, at[own], length[own]), length[own], fact["doc"][own])
-        mine = np.repeat(fact["doc"][own], length[own])
-        gone = least < mine
-        edge = np.cumsum(length[own]) - length[own]
-        starts = gone & np.append(True, ~gone[:-1])
-        starts[edge] = gone[edge]
-        stops = gone & np.append(~gone[1:], True)
-        stops[np.append(edge[1:], len(gone)) - 1] = gone[np.append(edge[1:], len(gone)) - 1]
-        a, z = np.flatnonzero(starts), np.flatnonzero(stops)
-        s = np.searchsorted(edge, a, "right") - 1
-        # Equal strings of the same document share what was found for the first.
-        copies = np.flatnonzero(~later)
-        of = np.searchsorted(own, base[copies])
-        n = np.bincount(s, minlength=len(own))
-        run0 = np.cumsum(n) - n
-        many = n[of]
-        take = np.repeat(run0[of] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        row = np.repeat(copies, many)
-        doc.append(fact["doc"][row])
-        begin.append(fact["start"][row] + a[take] - edge[s[take]])
-        end.append(fact["start"][row] + z[take] - edge[s[take]] + LENGTH)
-        who.append(block[row])
+        own = np.flatnonzero((base == np.arange(len(base))) & ~apart)
+        if len(own):
+            least = least_owner(_gather(data, at[own], length[own]), length[own], fact["doc"][own])
+            mine = np.repeat(fact["doc"][own], length[own])
+            gone = least < mine
+            edge = np.cumsum(length[own]) - length[own]
+            starts = gone & np.append(True, ~gone[:-1])
+            starts[edge] = gone[edge]
+            stops = gone & np.append(~gone[1:], True)
+            stops[np.append(edge[1:], len(gone)) - 1] = gone[np.append(edge[1:], len(gone)) - 1]
+            a, z = np.flatnonzero(starts), np.flatnonzero(stops)
+            s = np.searchsorted(edge, a, "right") - 1
+            # Equal strings of the same document share what was found for the first.
+            copies = np.flatnonzero(~later & ~apart)
+            of = np.searchsorted(own, base[copies])
+            n = np.bincount(s, minlength=len(own))
+            run0 = np.cumsum(n) - n
+            many = n[of]
+            take = np.repeat(run0[of] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            row = np.repeat(copies, many)
+            doc.append(fact["doc"][row])
+            begin.append(fact["start"][row] + a[take] - edge[s[take]])
+            end.append(fact["start"][row] + z[take] - edge[s[take]] + LENGTH)
+            who.append(block[row])
         doc, begin, end, who = map(np.concatenate, (doc, begin, end, who))
         o = np.argsort(who, kind="stable")
         cut = np.flatnonzero(np.append(True, who[o][1:] != who[o][:-1])) if len(o) else np.zeros(0, np.int64)
@@ -464,7 +482,7 @@ def suffix_dedup(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     known = dealt.where("doc_id is not null")
     told = known.groupBy("block").applyInPandas(_ask(buckets), ASK).groupBy("bucket").applyInPandas(_tell, TOLD)
     sent = known.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_send(buckets), SENT)
-    gone = sent.groupBy("bucket").applyInPandas(_find, GONE)
+    gone = sent.groupBy("bucket").applyInPandas(_find(buckets), GONE)
     kind = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
     out = known.groupBy("block").cogroup(gone.groupBy("block")).applyInPandas(_cut, kind)
     none = dealt.where("doc_id is null").select(
