@@ -481,7 +481,9 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text") -> DataFra
     side = lambda x: nodes.select(F.col("hi").alias(f"{x}hi"), F.col("lo").alias(f"{x}lo"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"))
     tied = tied.groupBy("ahi", "alo", "bhi", "blo").agg(F.max("fits").alias("fits")).join(side("a"), ["ahi", "alo"]).join(side("b"), ["bhi", "blo"])
     gap = F.pandas_udf(_gap, "double")("na", "nb", "siga", "sigb")
-    tied = snug(tied.where("a <> b").select("a", "b", "fits", gap.alias("gap"), (F.col("na") + F.col("nb")).alias("w")).coalesce(buckets))
+    tied = tied.where("a <> b").select("a", "b", "fits", gap.alias("gap"), (F.col("na") + F.col("nb")).alias("w"))
+    # An id with many texts is many times in a star otherwise, and would bring all its texts each time.
+    tied = snug(tied.groupBy("a", "b").agg(F.max("fits").alias("fits"), F.min("gap").alias("gap"), F.max("w").alias("w")).coalesce(buckets))
     best = tied.where("fits and gap <= 1").groupBy("b").agg(F.min_by(F.struct("a", "w"), F.struct("gap", "a")).alias("best"))
     links = _verified(best.select("best.a", "b", F.col("best.a").alias("meet"), "best.w"), with_id, buckets, levels)
     roots = snug(components(links))
