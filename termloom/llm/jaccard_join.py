@@ -25,6 +25,8 @@ CHUNK = 4 << 20
 MOST_BITS = 1 << 14
 #: Sets of a star that meet as one side in a task, the pairs that it looks at a time, and the sets of small stars in a task.
 SIDE, PAIRS, SMALL = 1024, 1 << 20, 4096
+#: Rows of prefixes that a task holds before it sends them: the more, the fewer and larger what each bucket gets from it.
+HELD = 1 << 19
 #: How many of the closest pairs of a set are compared in the first pass across components, before all that are left.
 CLOSEST = (2,)
 #: Tokens of the sets that a task compares, and the most ids that a Bloom filter picks; beyond, a join does.
@@ -162,17 +164,51 @@ def _levels(mean: float):
     return over
 
 
-ROW = np.dtype([("token", "u8"), ("hi", "i8"), ("lo", "i8"), ("n", "u4"), ("rest", "u4")])
+ROW = np.dtype([("token", "u4"), ("hi", "i8"), ("n", "u4"), ("rest", "u4")])
+
+
+def _packed(rows: np.ndarray) -> bytes:
+    """Rows in the order of their tokens, column by column; steps and small numbers byte plane by byte plane, as the high
+    planes are all but empty, which the shuffle's compression uses."""
+    planes = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 4).T.tobytes()
+    return planes(np.diff(rows["token"], prepend=np.uint32(0))) + rows["hi"].tobytes() + planes(rows["n"]) + planes(rows["n"] - rows["rest"])
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    k = len(blob) // ROW.itemsize
+    planes = lambda at: np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * k, at * k).reshape(4, k).T).view(np.uint32).ravel()
+    rows = np.empty(k, ROW)
+    rows["token"], rows["hi"], rows["n"] = np.cumsum(planes(0), dtype=np.uint32), np.frombuffer(blob, np.int64, k, 4 * k), planes(12)
+    rows["rest"] = rows["n"] - planes(16)
+    return rows
 
 
 def _prefixes(levels: np.ndarray, buckets: int):
-    """Rows (token, set, its size, how much of it is left from the token on) of the sets' prefixes, packed by bucket. A set
-    that a task meets again is passed over."""
+    """Rows (token, set, its size, how much of it is left from the token on) of the sets' prefixes, packed by bucket, some
+    `HELD` of them at a time. A set that a task meets again is passed over.
+
+    A bucket's tokens are told apart by 32 bits, which only makes some stars larger, and no more of them as the input grows,
+    as buckets hold some 4 MB of it each. Sets are told apart by half of their digest and by their size and place."""
+
+    def blobs(tokens: list[np.ndarray], his: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+        if not tokens:
+            return
+        token, held = np.concatenate(tokens), np.array([len(x) for x in tokens])
+        bucket = token % np.uint64(buckets)
+        key = (bucket << np.uint64(32)) | (mix(token ^ np.uint64(ORDERS[2])) >> np.uint64(32))
+        rows = np.empty(len(token), ROW)
+        rows["token"], rows["hi"], rows["n"] = key.astype(np.uint32), np.repeat(np.array(his, np.int64), held), np.repeat(np.array(sizes, np.uint32), held)
+        rows["rest"] = rows["n"] - (np.arange(len(token)) - np.repeat(np.cumsum(held) - held, held)).astype(np.uint32)
+        order = key.argsort()
+        rows, at = rows[order], np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        full = np.flatnonzero(np.diff(at))
+        for k in range(0, len(full), 256):
+            some = full[k : k + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_packed(rows[at[b] : at[b + 1]]) for b in some], pa.binary())], ["bucket", "rows"])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        seen, held, some = set(), 0, ([], [], [])
         for batch in batches:
-            parts = []
             for s, at in shingle_sets(batch.column(0)):
                 key, (hi, lo) = order_keys(s, levels, ORDERS[0]), set_digests(s, at)
                 for h, l, a, z in zip(hi.tolist(), lo.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -180,20 +216,13 @@ def _prefixes(levels: np.ndarray, buckets: int):
                         continue
                     seen.add((h, l))
                     p = prefix_length(z - a)
-                    rows = np.empty(p, ROW)
-                    rows["token"], rows["hi"], rows["lo"], rows["n"] = s[a:z][key[a:z].argsort()[:p]], h, l, z - a
-                    rows["rest"] = np.arange(z - a, z - a - p, -1)
-                    parts.append(rows)
-            if not parts:
-                continue
-            rows = np.concatenate(parts)
-            bucket = (rows["token"] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rows, at = rows[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(at))
-            for k in range(0, len(full), 256):
-                some = full[k : k + 256]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[at[b] : at[b + 1]].tobytes() for b in some], pa.binary())], ["bucket", "rows"])
+                    for x, y in zip(some, (s[a:z][key[a:z].argsort()[:p]], h, z - a), strict=True):
+                        x.append(y)
+                    held += p
+                    if held >= HELD:
+                        yield from blobs(*some)
+                        held, some = 0, ([], [], [])
+        yield from blobs(*some)
 
     return over
 
@@ -204,36 +233,63 @@ def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a["rest"], b["rest"]) >= needed(na, nb)
 
 
-def _groups(blobs) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of the tokens that several sets hold, in the order of (token, set), and where each token begins."""
-    rows = np.concatenate([np.frombuffer(x, ROW) for x in blobs]) if len(blobs) else np.zeros(0, ROW)
-    rows = rows[np.lexsort((rows["lo"], rows["hi"], rows["token"]))]
-    if len(rows):
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["hi"][1:] != rows["hi"][:-1]) | (rows["lo"][1:] != rows["lo"][:-1])
-        rows = rows[new]
-        first = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1]))
-        size = np.diff(np.append(first, len(rows)))
-        rows = rows[np.repeat(size > 1, size)]
-    first = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1])) if len(rows) else np.zeros(0, np.int64)
-    return rows, np.append(first, len(rows))
+def _reach(rows: np.ndarray) -> np.ndarray:
+    """The largest set that what is left of each row's allows (see `_fits`): two fit if neither is beyond the other's reach."""
+    return sum(SHARE) * rows["rest"].astype(np.int64) // SHARE[0] - rows["n"]
 
 
-STARS = "ahi long, alo long, bhi long, blo long, fits boolean"
+def _so_far(group: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The largest x of a row's group up to the row; groups lie end to end."""
+    base = group.astype(np.int64) << 34
+    return np.maximum.accumulate(base + x) - base
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+    return out
+
+
+def _groups(blobs) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of the tokens that several sets hold, and where each group begins that a token's sets fall into: a set
+    that fits none of a token's others isn't there, and sets of different groups don't fit each other."""
+    rows = np.concatenate([_unpacked(x) for x in blobs]) if len(blobs) else np.zeros(0, ROW)
+    order = rows["token"].argsort()
+    new = _new(rows["token"][order])
+    rows = rows[order[~(new & np.append(new[1:], True)[: len(new)])]]
+    rows = rows[np.lexsort((rows["rest"], rows["hi"], rows["n"], rows["token"]))]
+    rows = rows[_new(*(rows[c] for c in ROW.names))]
+    # Within a token by size: who is in a row's reach comes first, and one of them must reach as far as the row.
+    group, reach, n = np.cumsum(_new(rows["token"])), _reach(rows), rows["n"].astype(np.int64)
+    base = group << 34
+    best = _so_far(group, reach)
+    before = np.where(_new(group), 0, np.append(0, best[:-1])[: len(best)])
+    second = _so_far(group, np.minimum(reach, before))
+    last = np.searchsorted(base + n, base + reach, "right") - 1
+    inside = (last >= 0) & (group[last] == group)
+    own = (np.arange(len(rows)) <= last) & (best[last] == reach)
+    rows = rows[inside & (np.where(own, second[last], best[last]) >= n)]
+    token = _new(rows["token"])
+    best = _so_far(np.cumsum(token), _reach(rows))
+    group = np.cumsum(token | (np.append(0, best[:-1])[: len(best)] < rows["n"]))
+    order = np.lexsort((rows["hi"], group))
+    return rows[order], np.append(np.flatnonzero(_new(group)), len(rows))
+
+
+STARS = "ahi long, bhi long, fits boolean"
 
 
 def _stars(frame: pd.DataFrame) -> pd.DataFrame:
-    """Each token's sets are tied to the first of them: as many pairs as rows."""
+    """Each group's sets are tied to the first of them: as many pairs as rows."""
     rows, at = _groups(frame["rows"])
     hub = np.repeat(at[:-1], np.diff(at))
     pair = hub != np.arange(len(rows))
     a, b = rows[hub[pair]], rows[pair]
     fits = _fits(a, b)
-    o = np.lexsort((~fits, b["lo"], b["hi"], a["lo"], a["hi"]))
+    o = np.lexsort((~fits, b["hi"], a["hi"]))
     a, b, fits = a[o], b[o], fits[o]
-    new = np.ones(len(o), bool)
-    new[1:] = (a["hi"][1:] != a["hi"][:-1]) | (a["lo"][1:] != a["lo"][:-1]) | (b["hi"][1:] != b["hi"][:-1]) | (b["lo"][1:] != b["lo"][:-1])
-    return pd.DataFrame({"ahi": a["hi"], "alo": a["lo"], "bhi": b["hi"], "blo": b["lo"], "fits": fits})[new]
+    return pd.DataFrame({"ahi": a["hi"], "bhi": b["hi"], "fits": fits})[_new(a["hi"], b["hi"])]
 
 
 ACROSS = "a long, b long, loose long, gap double, meet long, w long"
@@ -245,6 +301,7 @@ def _across(closest: int | None):
     so many pairs, which the signatures bring closest."""
 
     def over(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = pd.concat([frame, frame[frame["both"]].assign(left=True)])
         frame = frame.sort_values(["a", "i", "j", "left", "node"], kind="stable")
         meets = frame[["a", "i", "j"]].to_numpy()
         left, node, root, n = (frame[c].to_numpy() for c in ("left", "node", "root", "n"))
@@ -418,12 +475,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, groups: int, levels: np.ndarray
 
 def _pairs_across(tied: DataFrame, roots: DataFrame, nodes: DataFrame, closest: int | None) -> tuple[DataFrame, int]:
     """Pairs within the stars that have not come together. Each set comes with its root, and the loose ones, which aren't
-    in the hub's component, once more as a side of their own. A large star is cut into blocks of sides, each pair of
-    which is for one task; small stars meet some thousand sets a task. Also the number of such tasks."""
+    in the hub's component, are a side of their own too. A large star is cut into blocks of sides, each pair of which is
+    for one task, and its loose sets come once more; small stars meet some thousand sets a task. A star of two sets that
+    can't be similar has no such pair. Also the number of such tasks."""
     many = tied.count()
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    rooted = snug(tied.join(ra, "a", "left").join(rb, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")), many)
-    open_ = rooted.groupBy("a").agg(F.count(F.lit(1)).alias("size"), F.first("ra").alias("ra"), F.max(F.col("ra") != F.col("rb")).alias("open")).where("open")
+    rooted = snug(tied.join(ra, "a", "left").join(rb, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"), F.expr("fits and gap <= 1").alias("near")), many)
+    open_ = rooted.groupBy("a").agg(F.count(F.lit(1)).alias("size"), F.first("ra").alias("ra"), F.max(F.col("ra") != F.col("rb")).alias("open"), F.max("near").alias("near"))
+    open_ = open_.where("open and (size > 1 or near)")
     open_ = snug(open_.select("a", "ra", "size", F.ceil((F.col("size") + 1) / SIDE).cast("int").alias("sides")), many)
     size, blocks = open_.agg(F.sum("size"), F.sum(F.when(F.col("sides") > 1, F.col("sides") * F.col("sides")))).first()
     tasks = 1 + int(size or 0) // SMALL
@@ -431,8 +490,8 @@ def _pairs_across(tied: DataFrame, roots: DataFrame, nodes: DataFrame, closest:
     sets = sets.unionByName(open_.select("a", F.col("a").alias("node"), F.col("ra").alias("root"), "ra", "size", "sides"))
     sets = sets.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
     all_ = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
-    others = sets.select("a", F.col("mine").alias("j"), all_.alias("i"), "node", "root", "sides", F.lit(False).alias("left"))
-    loose = sets.where("root <> ra").select("a", F.col("mine").alias("i"), all_.alias("j"), "node", "root", "sides", F.lit(True).alias("left"))
+    others = sets.select("a", F.col("mine").alias("j"), all_.alias("i"), "node", "root", "sides", F.lit(False).alias("left"), F.expr("sides = 1 and root <> ra").alias("both"))
+    loose = sets.where("sides > 1 and root <> ra").select("a", F.col("mine").alias("i"), all_.alias("j"), "node", "root", "sides", F.lit(True).alias("left"), F.lit(False).alias("both"))
     sides = others.unionByName(loose)
     # Numbers of small stars' tasks are below those of the blocks.
     block = F.shiftrightunsigned(F.xxhash64("a", "i", "j"), 1)
@@ -449,8 +508,8 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text") -> DataFra
     a token among the prefixes under the first order, where sizes and what is left of both sets allow it; prefixes under
     each further order are intersected next, and only what shares a token there too has its whole sets fetched and
     compared. The orders put tokens that many sets hold last (by a sketch of fixed size) and differ in the rest. First
-    each token ties its sets to one of them, so that a group of copies gives as many pairs as it has members; such a star
-    holds all pairs that share the token. The closest pairs of each set outside its hub's component are checked then, and
+    each token's sets that fit any of its others are tied to one of them, in groups that don't fit each other, so that a
+    group of copies gives as many pairs as it has members; such a star holds all pairs that share the token and fit. The closest pairs of each set outside its hub's component are checked then, and
     at last all pairs of a star across components that are left, so that no link between components is missed. Signatures
     rule out sets that differ too much before a pair is ever written down. Tokens are told apart by 64-bit hashes.
 
@@ -478,8 +537,8 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text") -> DataFra
     named = facts.where("doc_id is not null and hi is not null").groupBy("hi", "lo")
     nodes = stable(named.agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")).coalesce(slices(docs)))
     # Of each set the pair that its signature brings closest is compared in the first round.
-    side = lambda x: nodes.select(F.col("hi").alias(f"{x}hi"), F.col("lo").alias(f"{x}lo"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"))
-    tied = tied.groupBy("ahi", "alo", "bhi", "blo").agg(F.max("fits").alias("fits")).join(side("a"), ["ahi", "alo"]).join(side("b"), ["bhi", "blo"])
+    side = lambda x: nodes.select(F.col("hi").alias(f"{x}hi"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"))
+    tied = tied.groupBy("ahi", "bhi").agg(F.max("fits").alias("fits")).join(side("a"), "ahi").join(side("b"), "bhi")
     gap = F.pandas_udf(_gap, "double")("na", "nb", "siga", "sigb")
     tied = tied.where("a <> b").select("a", "b", "fits", gap.alias("gap"), (F.col("na") + F.col("nb")).alias("w"))
     # An id with many texts is many times in a star otherwise, and would bring all its texts each time.

@@ -4,13 +4,14 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 from gold_pages import GOLD, P1
 from llm_helpers import SCHEMA
-from termloom.llm import queries, suffix_dedup as sd
+from termloom.llm import jaccard_join, queries, suffix_dedup as sd
 from termloom.llm.chat_format import chat_template, escape, format_chats, read_turn, render, unescape
 from termloom.llm.decontamination import FMIndex, WaveletTree, decontaminate, suffix_array, without_spans
 from termloom.llm.graph import components
@@ -160,6 +161,43 @@ def test_bounds_of_similar_sets():
     assert len(set(zip(*map(np.ndarray.tolist, set_digests(s, at)), strict=True))) == len(texts)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_stars_hold_pairs_that_fit_and_little_else(seed):
+    """What a token's sets exchange: each pair that fits is in one star, a set that fits no other is in none."""
+    rng = np.random.default_rng(seed)
+    rows = np.empty(900, jaccard_join.ROW)
+    rows["token"], rows["hi"] = np.sort(rng.integers(0, 300, 900)), rng.integers(0, 500, 900)
+    rows["n"] = (rng.permutation(500) ** (1 + seed % 3) // 9 + 1)[rows["hi"]]
+    rows["rest"] = rows["n"] - rng.integers(0, 1 << 30, 900) % prefix_length(rows["n"].astype(np.int64))
+    blobs = [jaccard_join._packed(rows[k::3]) for k in range(3)]
+    assert (np.concatenate([jaccard_join._unpacked(b) for b in blobs]) == np.concatenate([rows[k::3] for k in range(3)])).all()
+    want, alone = set(), 0
+    for token in range(300):
+        some = np.unique(rows[rows["token"] == token])
+        fit = {(i, j) for i in range(len(some)) for j in range(i) if jaccard_join._fits(some[[i]], some[[j]])[0]}
+        want |= {(token, *sorted((some["hi"][i], some["hi"][j]))) for i, j in fit}
+        alone += len(some) > 1 and not fit
+    held, at = jaccard_join._groups(blobs)
+    groups = [held[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+    got = {(g["token"][0], *sorted((x, y))) for g in groups for k, x in enumerate(g["hi"]) for y in g["hi"][:k]}
+    assert alone and want <= got
+    assert all(any(jaccard_join._fits(g[[i]], g[[j]])[0] for j in range(len(g)) if j != i) for g in groups for i in range(len(g)))
+    stars = jaccard_join._stars(pd.DataFrame({"rows": blobs}))
+    assert len(stars) <= len(held) - len(groups)
+
+
+def test_prefixes_come_in_few_bytes_however_many_buckets():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefghijkl", k=400)) for _ in range(400)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 100])], ["text"]) for k in range(0, 400, 100)]
+    sent = [x for b in jaccard_join._prefixes(np.zeros(1 << jaccard_join.SLOT_BITS, np.uint8), 1000)(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(sent) == len(dict(sent)) <= 1000
+    sizes = [len(s) for s, _ in (next(shingle_sets(pa.array([x]))) for x in texts)]
+    n = sum(prefix_length(x) for x in sizes)
+    assert sum(len(x) for _, x in sent) == 20 * n
+    assert len(pa.Codec("lz4").compress(b"".join(x for _, x in sent))) < 18 * n
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)]
