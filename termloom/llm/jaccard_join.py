@@ -188,7 +188,7 @@ def _prefixes(levels: np.ndarray, buckets: int):
     `HELD` of them at a time. A set that a task meets again is passed over.
 
     A bucket's tokens are told apart by 32 bits, which only makes some stars larger, and no more of them as the input grows,
-    as buckets hold some 4 MB of it each. Sets are told apart by half of their digest and by their size and place."""
+    as buckets hold some 4 MB of it each. Sets are named by half of their digest."""
 
     def blobs(tokens: list[np.ndarray], his: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
         if not tokens:
@@ -538,7 +538,9 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text") -> DataFra
     nodes = stable(named.agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")).coalesce(slices(docs)))
     # Of each set the pair that its signature brings closest is compared in the first round.
     side = lambda x: nodes.select(F.col("hi").alias(f"{x}hi"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"))
-    tied = tied.groupBy("ahi", "bhi").agg(F.max("fits").alias("fits")).join(side("a"), "ahi").join(side("b"), "bhi")
+    # Stars take sets that agree in half of their digest for one; these are tied to each other here.
+    twins = nodes.groupBy("hi").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select(F.col("hi").alias("ahi"), F.col("hi").alias("bhi"), F.lit(True).alias("fits"))
+    tied = tied.unionByName(twins).groupBy("ahi", "bhi").agg(F.max("fits").alias("fits")).join(side("a"), "ahi").join(side("b"), "bhi")
     gap = F.pandas_udf(_gap, "double")("na", "nb", "siga", "sigb")
     tied = tied.where("a <> b").select("a", "b", "fits", gap.alias("gap"), (F.col("na") + F.col("nb")).alias("w"))
     # An id with many texts is many times in a star otherwise, and would bring all its texts each time.

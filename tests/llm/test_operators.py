@@ -186,6 +186,18 @@ def test_stars_hold_pairs_that_fit_and_little_else(seed):
     assert len(stars) <= len(held) - len(groups)
 
 
+def test_sets_that_agree_in_half_of_their_digests(spark, monkeypatch):
+    """Copies with another last word, which agree with their originals in size and in most places of their prefixes."""
+    whole, rng = jaccard_join.set_digests, random.Random(4)
+    monkeypatch.setattr(jaccard_join, "set_digests", lambda s, at: (np.diff(at).astype(np.int64), whole(s, at)[1]))
+    rows = []
+    for i in range(8):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(40 + i)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.jaccard(rows)
+
+
 def test_prefixes_come_in_few_bytes_however_many_buckets():
     rng = random.Random(3)
     texts = [" ".join(rng.choices("abcdefghijkl", k=400)) for _ in range(400)]
