@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A form's longest reach beyond an anchor word: forms hold at most so many code points.
 MAX_FORM = 128
+#: Characters of text whose words are held at a time.
+STRETCH = 1 << 20
 _RUN = re.compile(r"\w+")
+_SPACE = re.compile(r"\s")
 
 
 @cache
@@ -101,17 +105,35 @@ def tokens(text: Column, strip: Column, wordless: tuple[str, ...] = (), reach: i
     return F.pandas_udf(over, f"array<{TOKEN}>")(text, strip)
 
 
-def words_of(text: Column, strip: Column) -> Column:
-    """The words of the folded text, as a flat Arrow list; null text gives null."""
+def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
+    """A text in stretches of `size` characters and what is left of a word, cut at white space, which folds to white space."""
+    at = 0
+    while at + size < len(text) and (m := _SPACE.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
-    def over(texts: pa.Array, stripped: pa.Array) -> pa.Array:
-        found, offsets = [], [0]
-        for t, s in zip(texts.to_pylist(), stripped.to_pylist(), strict=True):
-            found += _RUN.findall(fold(t or "", s))
-            offsets.append(len(found))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.string()), mask=texts.is_null())
 
-    return F.arrow_udf(over, "array<string>")(text, strip)
+def words_of(df: DataFrame, text: Column, strip: bool) -> DataFrame:
+    """The words of the folded texts, one row (token) each; null texts have none.
+
+    Words go out stretch by stretch, so a process holds those of a stretch or two beside the batch of texts, however
+    many that has.
+    """
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for batch in batches:
+            for t in batch.column(0):
+                for part in stretches(t.as_py() or ""):
+                    found += _RUN.findall(fold(part, strip))
+                    size += len(part)
+                    if size >= STRETCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["token"])
+                        found, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["token"])
+
+    return df.select(text.alias("text")).mapInArrow(over, "token string")
 
 
 def folded(text: Column, strip: Column) -> Column:

@@ -54,7 +54,7 @@ def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_frequency(spark, sf_dir):
-    out = _table(spark, sf_dir, "documents").select(F.explode(words_of(F.col("text"), F.lit(True))).alias("token"))
+    out = words_of(_table(spark, sf_dir, "documents"), F.col("text"), True)
     return out.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 

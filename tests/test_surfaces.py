@@ -1,11 +1,16 @@
 import json
+import re
+from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from core_helpers import lexicon
 from termloom.cli import main
+from termloom.functions.folding import fold, stretches, words_of
 from termloom.plans import catalogue
 from termloom.plans.lexicons import EVENTS
 from termloom.plans.resolver import EntityResolver
@@ -53,6 +58,35 @@ def test_partitioning_does_not_matter(spark):
     assert rows(one) == rows(other)
 
 
+def test_words_of_a_batch_are_not_held_at_once(spark, tmp_path, monkeypatch):
+    """500 texts of 40 KB come in one Arrow batch; lists of their five million words would take 300 MB. The workers are new
+    ones, told from others by their environment."""
+    spark.range(0, 500, 1, 1).select(F.repeat(F.concat(F.lit("Ab c"), F.col("id") % 10, F.lit(" ")), 6667).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setitem(spark.sparkContext.environment, "TERMLOOM_TEST", str(tmp_path))
+    got = {r["token"]: r["n"] for r in catalogue.token_frequency(spark, str(tmp_path)).collect()}
+    assert got == {"ab": 500 * 6667} | {f"c{i}": 50 * 6667 for i in range(10)}
+    mine = []
+    for p in Path("/proc").glob("[0-9]*"):
+        try:
+            if f"TERMLOOM_TEST={tmp_path}".encode() in (p / "environ").read_bytes():
+                mine.append(int(re.search(r"VmHWM:\s+(\d+) kB", (p / "status").read_text())[1]) >> 10)
+        except (OSError, TypeError):  # ended, or not ours
+            continue
+    assert mine and max(mine) < 300, mine
+
+
+def test_words_across_stretches(spark):
+    text = "Straße½ é\u00a0x" + "\u3000Ünder_score-" * 9 + "w" * 40 + "\n\u0130 e\u0301\x85z "
+    want = re.findall(r"\w+", fold(text))
+    for size in (1, 2, 3, 7, 50, 1000):
+        parts = list(stretches(text, size))
+        assert "".join(parts) == text and [w for p in parts for w in re.findall(r"\w+", fold(p))] == want
+    assert len(list(stretches(text, 3))) > 5 and list(stretches("")) == [""]
+    long = text * 30_000  # a row of several stretches
+    got = words_of(spark.createDataFrame([(long,), (None,), ("",), ("x",)], "text string"), F.col("text"), True)
+    assert {r["token"]: r["count"] for r in got.groupBy("token").count().collect()} == {w: n * 30_000 + (w == "x") for w, n in Counter(want).items()}
+
+
 def test_cli(tmp_path, capsys):
     good, bad = tmp_path / "good.json", tmp_path / "bad.json"
     good.write_text(json.dumps(lexicon(lamp="lantern")), "utf-8")
